@@ -74,7 +74,8 @@ def reference_key(col: Column) -> Column:
 
 def utc_instant(col: Column) -> Column:
     """ISO text as a timestamp; without an offset it is UTC. Blank or malformed text gives null."""
-    text = F.trim(col)
+    stripped = F.regexp_replace(col, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    text = F.when(stripped.rlike(r"^\d{4}-\d{2}-\d{2}"), stripped)  # a time alone would be read as today's
     zoned = F.when(text.rlike(r"(?i)(?:z|[+-]\d{2}(?::?\d{2})?)$") & text.rlike(r"\d{2}:\d{2}"), text).when(
         text.rlike(r"\d{2}:\d{2}"), F.concat(text, F.lit("Z"))
     ).otherwise(F.concat(text, F.lit("T00:00:00Z")))
