@@ -72,7 +72,7 @@ def _offers(records: DataFrame, trust: DataFrame) -> DataFrame:
 
 
 def whole_values(values: DataFrame) -> DataFrame:
-    """Rows of ``values`` (keys, slot, text, ...) whose text is neither elided nor a cut-off of another text of its slot.
+    """(keys, slot, best) of the rows of ``values`` whose text is neither elided nor a cut-off of another text of its slot.
 
     In sorted order the texts that begin with a text follow it, so only the next one needs a look. Long texts are
     sorted per first characters; a text shorter than those is compared with the distinct beginnings of the others.
@@ -86,14 +86,17 @@ def whole_values(values: DataFrame) -> DataFrame:
     distinct_after = F.lead("stem").over(after)
     # equal stems (a whole text and an elided one of the same length) sort elided first, so the whole one sees what follows
     sorted_in = marked.withColumn("next", distinct_after).filter(~F.col("elided"))
-    long_kept = sorted_in.filter(~F.coalesce(F.col("next").startswith(F.col("stem")) & (F.col("next") != F.col("stem")), F.lit(False)))
+    # from here on only short texts are needed: long ones stay behind before the next shuffle
+    long_kept = sorted_in.filter(~F.coalesce(F.col("next").startswith(F.col("stem")) & (F.col("next") != F.col("stem")), F.lit(False))).select(
+        *keys, "best", F.when(F.length("stem") < HEAD, F.col("stem")).alias("stem")
+    )
     heads = marked.groupBy(*keys, "head").agg(F.count("*").alias("_n"))
     cut_heads = (
         heads.withColumn("_next", F.lead("head").over(Window.partitionBy(*keys).orderBy("head")))
         .filter((F.length("head") < HEAD) & F.col("_next").startswith(F.col("head")))
         .select(*keys, F.col("head").alias("stem"))
     )
-    return long_kept.join(cut_heads, [*keys, "stem"], "left_anti").drop("elided", "stem", "head", "next")
+    return long_kept.join(cut_heads, [*keys, "stem"], "left_anti").drop("stem")
 
 
 def survivors(records: DataFrame, trust: DataFrame) -> DataFrame:
