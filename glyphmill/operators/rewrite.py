@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,7 +103,14 @@ def drop_when(code: str) -> str:
     return code
 
 
-@F.udf("string", useArrow=True)
-def drop_when_argument(code: str | None) -> str | None:
-    """``drop_when`` as a column: balanced parentheses are beyond regular expressions. Null stays null."""
-    return None if code is None else drop_when(code)
+def drop_when_argument(code: Column) -> Column:
+    """``drop_when`` as a column: balanced parentheses are beyond regular expressions, so Arrow batches go to Python.
+
+    Null stays null.
+    """
+
+    @F.pandas_udf("string")
+    def dropped(codes: pd.Series) -> pd.Series:
+        return codes.map(drop_when, na_action="ignore")
+
+    return dropped(code)
