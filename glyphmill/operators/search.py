@@ -87,7 +87,7 @@ def fit_cells(vectors: DataFrame, cells: int, value: str = "embedding", key: str
     return centres
 
 
-def vector_topk_indexed(vectors: DataFrame, k: int = 10, every: int = 50, cells: int = 24, probes: int = 14, key: str = "vec_id", value: str = "embedding") -> DataFrame:
+def vector_topk_indexed(vectors: DataFrame, k: int = 10, every: int = 50, cells: int = 24, probes: int = 17, key: str = "vec_id", value: str = "embedding") -> DataFrame:
     """``vector_topk`` through an inverted file: queries look only into the ``probes`` cells nearest to them.
 
     Every row is indexed; the centres are fitted on a bounded sample. Cells are split into blocks of bounded size, so a
