@@ -47,7 +47,7 @@ SWITCH = 4.0
 _MAX_PIECE = 16
 _UNKNOWN = 1e-7
 
-_HIDDEN = regex.compile(r"[​-‏⁠﻿­]")
+_HIDDEN = regex.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
 _TAG = regex.compile(r"<\|?/?[a-z_]+\|?>", regex.I)
 _FENCE = regex.compile(r"\s*(?:`{3}|\"{3}|'{3})")
 _BULLET = regex.compile(r"^\s*(?:[*•\-+]|\d+[.)])\s+")
@@ -58,8 +58,10 @@ _CODE = regex.compile(
 )
 #: Symbol names (dotted, with an @, in mixed case, or called), strings with digits, and addresses; ASCII only, as the
 #: text around may follow without a space.
-_ID = r"[A-Za-z_][A-Za-z0-9_]*"
-_NAME = regex.compile(rf"https?://\S+|@?{_ID}(?:\s?\.\s?{_ID})*\.{_ID}(?:\(\s*\))?|@{_ID}|[A-Za-z0-9_]*[0-9][A-Za-z0-9_]*|(?<![A-Za-z])[A-Za-z]*[a-z][A-Z]{_ID}(?:\(\s*\))?|{_ID}\(\s*\)")
+_ID = r"[A-Za-z_][A-Za-z0-9_]*+"
+_NAME = regex.compile(rf"https?://\S+|@?{_ID}(?:\.{_ID})+(?:\(\s*\))?|@{_ID}|(?<![A-Za-z0-9_])[A-Za-z_]*[0-9][A-Za-z0-9_]*|(?<![A-Za-z])[A-Za-z]*[a-z][A-Z]{_ID}(?:\(\s*\))?|{_ID}\(\s*\)")
+#: What stands between white space and signs; a full stop may be inside a name.
+_CLUMP = regex.compile(r"[^\s\"'`«»“”‘’,;:!?、。！？…(){}\[\]<>/|&*=+%#~^$\-–—]+")
 _END = regex.compile(r"(?<=[.!?…])[\"'»”’)\]`]*\s+|(?<=[。！？])")
 _WORD = regex.compile(r"\p{Hiragana}+|[\p{Katakana}ー]+|\p{Han}+|(?:(?![\p{Hiragana}\p{Katakana}\p{Han}])[\p{L}\p{M}])+")
 _CJK = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]")
@@ -79,7 +81,8 @@ def sentences(text: str | None) -> list[str]:
     """The sentences of a text in order. Code, headings, error positions and signs are none; comments in code are."""
     if not text:
         return []
-    text = _TAG.sub(" ", _HIDDEN.sub("", html.unescape(text)).replace(" ", " "))
+    text = _HIDDEN.sub("", html.unescape(text) if "&" in text else text).replace("\u00a0", " ")
+    text = _TAG.sub(" ", text) if "<" in text else text
     out, fenced = [], False
     for line in text.split("\n"):
         if _FENCE.match(line):
@@ -96,9 +99,20 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
+def clump_words(clump: str) -> list[str]:
+    """The words of what stands between white space and signs, in lower case: none for names, numbers and long strings."""
+    bare = clump.strip(".")
+    if bare.isascii():
+        plain = bare.isalpha() and len(bare) <= 24 and (bare.islower() or bare.isupper() or bare[1:].islower())
+        return [bare.lower()] if plain else []
+    if bare.isalpha() and not _CJK.search(bare):
+        return [bare.lower()] if len(bare) <= 24 else []
+    return [w.lower() for w in _WORD.findall(_NAME.sub(" ", bare)) if len(w) <= 24]
+
+
 def words(sentence: str) -> list[str]:
     """The words of a sentence in lower case, without symbol names, numbers and signs; Japanese is cut where the script changes."""
-    return [w.lower() for w in _WORD.findall(_NAME.sub(" ", sentence)) if len(w) <= 24]
+    return [w for clump in _CLUMP.findall(sentence) for w in clump_words(clump)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -110,8 +124,10 @@ def vocabulary(tokenizers: str = TOKENIZERS, name: str = "piece_bpe_32k") -> dic
     return {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
 
 
-def _lattice(word: str, pieces: dict[str, int]) -> tuple[int, list[tuple[int, int, int]]]:
+@functools.lru_cache(maxsize=300_000)
+def _lattice(word: str, tokenizers: str) -> tuple[int, list[tuple[int, int, int]]]:
     """Length and edges (start, end, piece) of a word; -1 stands for a character outside the vocabulary."""
+    pieces = vocabulary(tokenizers)
     text = word if _CJK.match(word) else "▁" + word
     edges = []
     for i in range(len(text)):
@@ -130,9 +146,10 @@ class Unigrams:
     def __init__(self, table: np.ndarray, languages: tuple[str, ...], tokenizers: str = TOKENIZERS):
         self.table, self.languages, self.tokenizers = table, languages, tokenizers
         self.known: dict[str, np.ndarray] = {}
+        self.clumps: dict[str, np.ndarray | None] = {}
 
     def __getstate__(self):
-        return {"table": self.table, "languages": self.languages, "tokenizers": self.tokenizers, "known": {}}
+        return {"table": self.table, "languages": self.languages, "tokenizers": self.tokenizers, "known": {}, "clumps": {}}
 
     def _p(self, k: int):
         return self.table[k] if k >= 0 else _UNKNOWN
@@ -141,7 +158,7 @@ class Unigrams:
         """Logarithm of the word's probability in each language, summed over all its segmentations."""
         found = self.known.get(word)
         if found is None:
-            n, edges = _lattice(word, vocabulary(self.tokenizers))
+            n, edges = _lattice(word, self.tokenizers)
             alpha = np.zeros((n + 1, len(self.languages)))
             alpha[0] = 1.0
             for i, j, k in edges:  # in the order of their starts, so alpha[i] is complete
@@ -154,14 +171,24 @@ class Unigrams:
 
     def sentence(self, sentence: str) -> np.ndarray | None:
         """Log-probabilities of a sentence's words; None where it has no words."""
-        found = words(sentence)
-        return np.sum([self.word(w) for w in found], axis=0) if found else None
+        total, clumps = None, self.clumps
+        for clump in _CLUMP.findall(sentence):
+            found = clumps.get(clump, False)
+            if found is False:
+                said = clump_words(clump)
+                found = np.sum([self.word(w) for w in said], axis=0) if said else None
+                if len(clumps) > 200_000:
+                    clumps.clear()
+                clumps[clump] = found
+            if found is not None:
+                total = found.copy() if total is None else np.add(total, found, out=total)
+        return total
 
     def expected(self, counts: dict[str, np.ndarray]) -> np.ndarray:
         """Expected uses of every piece per language, over all segmentations of the counted words."""
         uses = np.zeros_like(self.table)
         for word, weight in counts.items():
-            n, edges = _lattice(word, vocabulary(self.tokenizers))
+            n, edges = _lattice(word, self.tokenizers)
             alpha = np.zeros((n + 1, len(self.languages)))
             beta = np.zeros((n + 1, len(self.languages)))
             alpha[0] = beta[n] = 1.0
@@ -189,8 +216,7 @@ def fit(labelled: list[tuple[str, str]], tokenizers: str = TOKENIZERS, em_rounds
     told = [(code, found) for code, found in told if found]
     if not told:
         return None
-    pieces = vocabulary(tokenizers)
-    size = max(pieces.values()) + 1
+    size = max(vocabulary(tokenizers).values()) + 1
     model = None
     for _ in range(1 + relabel_rounds):
         counts: dict[str, np.ndarray] = {}
@@ -202,7 +228,7 @@ def fit(labelled: list[tuple[str, str]], tokenizers: str = TOKENIZERS, em_rounds
         if model is None:
             uses = np.zeros((size, len(languages)))
             for w, weight in counts.items():
-                for i, j, k in _lattice(w, pieces)[1]:
+                for i, j, k in _lattice(w, tokenizers)[1]:
                     if k >= 0:
                         uses[k] += weight * (j - i)
             model = Unigrams(_smoothed(uses), languages, tokenizers)
