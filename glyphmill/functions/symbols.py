@@ -41,7 +41,7 @@ def name_key(col: Column) -> Column:
 def is_swapped(name: Column, category: Column) -> Column:
     """True where the two fields stand in the other's place: only the name field holds a category."""
     n, c = squash(name), squash(category)
-    return F.coalesce(n.isin(*CATEGORIES) & (c != "") & ~c.isin(*CATEGORIES), F.lit(False))
+    return F.coalesce(n.isin(*CATEGORIES) & name_key(category).isNotNull() & ~c.isin(*CATEGORIES), F.lit(False))
 
 
 def symbol_struct(name: Column, category: Column) -> Column:

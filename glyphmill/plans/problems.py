@@ -63,7 +63,7 @@ def name_key_sql(col: str) -> str:
 def symbol_sql(table_name: str, columns: str) -> str:
     """A subquery with sym_name and sym_category in DuckDB's SQL."""
     n, c = _KEY.format("name"), _KEY.format("category")
-    swapped = f"coalesce({n} IN {_CATS} AND {c} <> '' AND {c} NOT IN {_CATS}, false)"
+    swapped = f"coalesce({n} IN {_CATS} AND ({name_key_sql('category')}) IS NOT NULL AND {c} NOT IN {_CATS}, false)"
     return (
         f"SELECT {columns}, {name_key_sql('raw_name')} AS sym_name, nullif({_KEY.format('raw_category')}, '') AS sym_category FROM "
         f"(SELECT *, CASE WHEN {swapped} THEN category ELSE name END AS raw_name, CASE WHEN {swapped} THEN name ELSE category END AS raw_category FROM {table_name})"
