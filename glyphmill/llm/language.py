@@ -64,6 +64,7 @@ _NAME = regex.compile(rf"https?://\S+|@?{_ID}(?:\.{_ID})+(?:\(\s*\))?|@{_ID}|(?<
 _CLUMP = regex.compile(r"[^\s\"'`«»“”‘’,;:!?、。！？…(){}\[\]<>/|&*=+%#~^$\-–—]+")
 _END = regex.compile(r"(?<=[.!?…])[\"'»”’)\]`]*\s+|(?<=[。！？])")
 _WORD = regex.compile(r"\p{Hiragana}+|[\p{Katakana}ー]+|\p{Han}+|(?:(?![\p{Hiragana}\p{Katakana}\p{Han}])[\p{L}\p{M}])+")
+_LETTER = regex.compile(r"\p{L}")
 _CJK = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]")
 
 
@@ -95,7 +96,7 @@ def sentences(text: str | None) -> list[str]:
             continue
         else:
             bare = _BULLET.sub("", bare)
-        out += [s for s in _END.split(bare) if s and s.strip()]
+        out += [s for s in _END.split(bare) if s and _LETTER.search(s)]
     return out
 
 
