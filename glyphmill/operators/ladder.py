@@ -17,8 +17,8 @@ def lookup(queries: DataFrame, catalog: DataFrame, key: str = "row_no", score: f
     are compared with the others, in blocks. Blank names are not found.
     """
     asked = queries.select("query_id", F.coalesce(index_key(bare_name(F.col("name"))), F.lit("")).alias("name_key"), "category")
-    own = catalog.filter("name is not null").groupBy(index_key(bare_name(F.col("name"))).alias("name_key"), "category").agg(F.min(key).alias("own_row"))
-    best = best_version(catalog.withColumn("name", bare_name(F.col("name"))), key).select("name_key", "best_row")
+    own = catalog.filter("name is not null").groupBy(index_key(bare_name(F.col("name"))).alias("name_key"), "category").agg(F.min(key).alias("own_row")).filter("name_key != ''")
+    best = best_version(catalog.withColumn("name", bare_name(F.col("name"))), key).select("name_key", "best_row").filter("name_key != ''")
     exact = asked.join(own, ["name_key", "category"], "left").join(best, "name_key", "left")
     lost = exact.filter("best_row is null and name_key != ''").select(F.col("name_key").alias("name")).distinct()
     near = fuzzy_names(best.select(F.col("name_key").alias("name")), lost, score, 1).select(F.col("query").alias("name_key"), F.col("name").alias("near_key"))
