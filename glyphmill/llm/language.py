@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import html
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ SPELLINGS = {
     "ru": ("rus", "russian"),
 }
 #: The model is fitted on this many labelled documents of SAMPLE_CHARS characters, in the order of a hash of their ids.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 3_000
 SAMPLE_CHARS = (20, 5_000)
 #: Rounds of expectation maximisation, and of relabelling the sample's sentences by the model fitted so far.
 EM_ROUNDS = 2
@@ -47,22 +48,23 @@ SWITCH = 4.0
 _MAX_PIECE = 16
 _UNKNOWN = 1e-7
 
-_HIDDEN = regex.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
-_TAG = regex.compile(r"<\|?/?[a-z_]+\|?>", regex.I)
-_FENCE = regex.compile(r"\s*(?:`{3}|\"{3}|'{3})")
-_BULLET = regex.compile(r"^\s*(?:[*•\-+]|\d+[.)])\s+")
+_HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
+_TAG = re.compile(r"<\|?/?[a-z_]+\|?>", re.I)
+_FENCE = re.compile(r"\s*(?:`{3}|\"{3}|'{3})")
+_BULLET = re.compile(r"^\s*(?:[*•\-+]|\d+[.)])\s+")
 #: Lines without a language: headings, error positions, signatures, and code.
-_HEADING = regex.compile(r"^\s*#|^\s*[A-Z]{2}\d{3,}\s*@|→|->|<expr>|\{block\}", regex.I)
-_CODE = regex.compile(
-    r"^\s*(?:(?:var(?:ip)?\s+)?(?:float|int|bool|string|color)?\s*\w+\s*:?=(?!=)\s|(?:plot|alert|label\s*\.\s*new|strategy|indicator|fill|hline|bgcolor)\s*\(|for\s+\w+\s*=|if\s+\w+\s*[<>=!]|var\s|import\s|export\s)", regex.I
+_HEADING = re.compile(r"\s*(?:#|[A-Za-z]{2}\d{3,}\s*@)")
+_SIGNATURE = ("→", "->", "<expr>", "{block}")
+_CODE = re.compile(
+    r"\s*(?:(?:var(?:ip)?\s+)?(?:float|int|bool|string|color)?\s*\w+\s*:?=(?!=)\s|(?:plot|alert|label\s*\.\s*new|strategy|indicator|fill|hline|bgcolor)\s*\(|for\s+\w+\s*=|if\s+\w+\s*[<>=!]|var\s|import\s|export\s)", re.I
 )
 #: Symbol names (dotted, with an @, in mixed case, or called), strings with digits, and addresses; ASCII only, as the
 #: text around may follow without a space.
 _ID = r"[A-Za-z_][A-Za-z0-9_]*+"
 _NAME = regex.compile(rf"https?://\S+|@?{_ID}(?:\.{_ID})+(?:\(\s*\))?|@{_ID}|(?<![A-Za-z0-9_])[A-Za-z_]*[0-9][A-Za-z0-9_]*|(?<![A-Za-z])[A-Za-z]*[a-z][A-Z]{_ID}(?:\(\s*\))?|{_ID}\(\s*\)")
 #: What stands between white space and signs; a full stop may be inside a name.
-_CLUMP = regex.compile(r"[^\s\"'`«»“”‘’,;:!?、。！？…(){}\[\]<>/|&*=+%#~^$\-–—]+")
-_END = regex.compile(r"(?<=[.!?…])[\"'»”’)\]`]*\s+|(?<=[。！？])")
+_CLUMP = re.compile(r"[^\s\"'`«»“”‘’,;:!?、。！？…(){}\[\]<>/|&*=+%#~^$\-–—]+")
+_END = re.compile(r"(?<=[.!?…])[\"'»”’)\]`]*\s+|(?<=[。！？])")
 _WORD = regex.compile(r"\p{Hiragana}+|[\p{Katakana}ー]+|\p{Han}+|(?:(?![\p{Hiragana}\p{Katakana}\p{Han}])[\p{L}\p{M}])+")
 _LETTER = regex.compile(r"\p{L}")
 _CJK = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]")
@@ -92,7 +94,7 @@ def sentences(text: str | None) -> list[str]:
         bare = line.strip()
         if bare.startswith("//"):
             bare = bare.lstrip("/ ")
-        elif fenced or _HEADING.search(line) or _CODE.match(line):
+        elif fenced or _HEADING.match(line) or _CODE.match(line) or any(mark in line for mark in _SIGNATURE):
             continue
         else:
             bare = _BULLET.sub("", bare)
@@ -146,11 +148,21 @@ class Unigrams:
 
     def __init__(self, table: np.ndarray, languages: tuple[str, ...], tokenizers: str = TOKENIZERS):
         self.table, self.languages, self.tokenizers = table, languages, tokenizers
+        self._forget()
+
+    def _forget(self) -> None:
+        """What is known of words and clumps; row 0 stands for a clump without words."""
         self.known: dict[str, np.ndarray] = {}
-        self.clumps: dict[str, np.ndarray | None] = {}
+        self.clumps: dict[str, int] = {}
+        self.rows = np.zeros((1_024, len(self.languages)))
+        self.filled = 1
 
     def __getstate__(self):
-        return {"table": self.table, "languages": self.languages, "tokenizers": self.tokenizers, "known": {}, "clumps": {}}
+        return {"table": self.table, "languages": self.languages, "tokenizers": self.tokenizers}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
 
     def _p(self, k: int):
         return self.table[k] if k >= 0 else _UNKNOWN
@@ -165,25 +177,38 @@ class Unigrams:
             for i, j, k in edges:  # in the order of their starts, so alpha[i] is complete
                 alpha[j] += alpha[i] * self._p(k)
             found = np.log(np.maximum(alpha[n], 1e-300))
-            if len(self.known) > 200_000:
-                self.known.clear()
             self.known[word] = found
         return found
 
-    def sentence(self, sentence: str) -> np.ndarray | None:
-        """Log-probabilities of a sentence's words; None where it has no words."""
-        total, clumps = None, self.clumps
-        for clump in _CLUMP.findall(sentence):
-            found = clumps.get(clump, False)
-            if found is False:
-                said = clump_words(clump)
-                found = np.sum([self.word(w) for w in said], axis=0) if said else None
-                if len(clumps) > 200_000:
-                    clumps.clear()
-                clumps[clump] = found
-            if found is not None:
-                total = found.copy() if total is None else np.add(total, found, out=total)
-        return total
+    def _learn(self, clump: str) -> int:
+        """The row of a clump not met before."""
+        said = clump_words(clump)
+        at = 0
+        if said:
+            if self.filled == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            at, self.filled = self.filled, self.filled + 1
+            self.rows[at] = np.sum([self.word(w) for w in said], axis=0)
+        self.clumps[clump] = at
+        return at
+
+    def scores(self, told: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Log-probabilities of the words of each sentence that has any, and the places of those sentences."""
+        if len(self.clumps) > 300_000:
+            self._forget()
+        ids, starts, kept, get = [], [], [], self.clumps.get
+        for place, sentence in enumerate(told):
+            at = len(ids)
+            for clump in _CLUMP.findall(sentence):
+                row = get(clump)
+                if row is None:
+                    row = self._learn(clump)
+                if row:
+                    ids.append(row)
+            if len(ids) > at:
+                starts.append(at)
+                kept.append(place)
+        return (np.add.reduceat(self.rows[ids], starts, axis=0) if kept else np.empty((0, len(self.languages)))), kept
 
     def expected(self, counts: dict[str, np.ndarray]) -> np.ndarray:
         """Expected uses of every piece per language, over all segmentations of the counted words."""
@@ -258,21 +283,27 @@ def stretches(text: str | None, model: Unigrams, switch: float = SWITCH) -> list
     The languages are those of the likeliest sequence in which every change costs ``switch``. The confidence is the
     posterior of the run's language from all its sentences.
     """
-    told = [(score, len(s.strip())) for s in sentences(text) if (score := model.sentence(s)) is not None]
-    if not told:
+    told = sentences(text)
+    scores, kept = model.scores(told)
+    if not kept:
         return []
-    best, back = told[0][0].copy(), []
-    for score, _ in told[1:]:
-        from_any = int(np.argmax(best))
-        stay = best >= best[from_any] - switch
-        back.append(np.where(stay, np.arange(len(best)), from_any))
-        best = np.where(stay, best, best[from_any] - switch) + score
-    path = [int(np.argmax(best))]
-    for step in reversed(back):
-        path.append(int(step[path[-1]]))
-    path.reverse()
+    chars_of = [len(told[k].strip()) for k in kept]
+    likeliest = np.argmax(scores, axis=1)
+    if (likeliest == likeliest[0]).all():  # no change of language pays
+        path = likeliest.tolist()
+    else:
+        best, back = scores[0].copy(), []
+        for score in scores[1:]:
+            from_any = int(np.argmax(best))
+            stay = best >= best[from_any] - switch
+            back.append(np.where(stay, np.arange(len(best)), from_any))
+            best = np.where(stay, best, best[from_any] - switch) + score
+        path = [int(np.argmax(best))]
+        for step in reversed(back):
+            path.append(int(step[path[-1]]))
+        path.reverse()
     groups: list[list] = []
-    for code, (score, chars) in zip(path, told):
+    for code, score, chars in zip(path, scores, chars_of):
         if groups and groups[-1][0] == code:
             groups[-1][1] = groups[-1][1] + score
             groups[-1][2] += chars
