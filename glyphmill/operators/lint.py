@@ -1,8 +1,8 @@
-"""Local diagnostics of code: per-line rules as rows, without a compiler."""
+"""Local diagnostics of code, without a compiler. Each code is one row, so every rule works inside it: no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.scalar import blank_literals
@@ -15,35 +15,90 @@ BARE_FUNCTIONS = (
 )
 
 
-def code_lines(codes: DataFrame, key: str, code: str) -> DataFrame:
-    """(key, line_no, raw, clean): lines from 1; clean has no literals and comments. A line end at the end adds no line."""
-    lines = F.split(F.regexp_replace(F.col(code), r"\R\z", ""), r"\R")
-    return codes.filter(F.col(code) != "").select(key, F.posexplode(lines).alias("_at", "raw")).select(
-        key, (F.col("_at") + 1).alias("line_no"), "raw", F.regexp_replace(blank_literals(F.col("raw")), "//.*$", "").alias("clean")
-    )
+_DIAG = "array<struct<line_no:int,code:string,text:string,type:string>>"
+
+
+def raw_lines(code: Column) -> Column:
+    """The lines of a code; a line end at the end adds no line."""
+    return F.split(F.regexp_replace(code, r"\R\z", ""), r"\R")
+
+
+def clean_lines(raw: Column) -> Column:
+    """struct(line_no, c) of each line, from 1, with literals emptied and comments cut."""
+    return F.transform(raw, lambda l, i: F.struct((i + 1).cast("int").alias("line_no"), F.regexp_replace(blank_literals(l), "//.*$", "").alias("c")))
+
+
+def _diagnostic(line: Column, code: str, text: Column | str, kind: str = "error") -> Column:
+    return F.struct(line.cast("int").alias("line_no"), F.lit(code).alias("code"), (F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(kind).alias("type"))
+
+
+def _matching(pattern: str, code: str, text: str, kind: str = "error") -> Column:
+    """A diagnostic for every line that matches."""
+    return F.transform(F.filter("_lines", lambda l: F.rlike(l["c"], F.lit(pattern))), lambda l: _diagnostic(l["line_no"], code, text, kind))
+
+
+def _once(condition: Column, diagnostic: Column) -> Column:
+    return F.when(condition, F.array(diagnostic)).otherwise(F.array().cast(_DIAG))
+
+
+def _header() -> Column:
+    first = F.slice("_raw", 1, 10)
+    told = F.get(F.filter(F.transform(first, lambda l, i: F.struct((i + 1).alias("line_no"), F.regexp_extract(l, r"^\s*//@version=(\d)", 1).alias("v"))), lambda x: x["v"] != ""), F.lit(0))
+    other = F.coalesce(told["v"] != "6", F.lit(False))
+    text = F.when(other, F.concat(F.lit("Version "), told["v"], F.lit(" detected. This server requires //@version=6"))).otherwise("Missing //@version=6 header. First line must be //@version=6")
+    return _once(~F.exists(first, lambda l: l.contains("//@version=6")), _diagnostic(F.when(other, told["line_no"]).otherwise(1), "LOCAL_VERSION", text))
 
 
-def _diagnostic(key: str, line: Column, code: str, text: Column, kind: str = "error") -> list[Column]:
-    return [F.col(key), line.cast("int").alias("line_no"), F.lit(code).alias("code"), text.alias("text"), F.lit(kind).alias("type")]
+def _study() -> Column:
+    lines = F.filter("_lines", lambda l: F.rlike(l["c"], F.lit(r"\bstudy\s*\(")))
+    return _once(F.size(lines) > 0, _diagnostic(F.get(lines, F.lit(0))["line_no"], "LOCAL_V5_STUDY", "study() is v5 syntax. Use indicator() in v6"))
 
 
-def _balance(opening: str, closing: str):
-    """Fold over a code's signs: depth, and lines where a closing sign has no partner; the depth starts anew there."""
+def _colors(pattern: str) -> Column:
+    named = F.transform("_lines", lambda l: F.struct(l["line_no"].alias("line_no"), F.regexp_extract(l["c"], pattern, 1).alias("n")))
+    text = lambda n: F.concat(F.lit("Bare color '"), n, F.lit("' is v4 syntax. Use color."), n, F.lit(" in v6"))
+    return F.transform(F.filter(named, lambda x: x["n"].isin(*OLD_COLORS)), lambda x: _diagnostic(x["line_no"], "LOCAL_V4_COLOR", text(x["n"])))
 
-    def fold(signs: Column) -> Column:
-        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("bad"))
 
-        def step(acc: Column, s: Column) -> Column:
-            return (
-                F.when(s["sign"] == opening, F.struct((acc["depth"] + 1).alias("depth"), acc["bad"].alias("bad")))
-                .when((s["sign"] == closing) & (acc["depth"] == 0), F.struct(F.lit(0).alias("depth"), F.concat(acc["bad"], F.array(s["line_no"])).alias("bad")))
-                .when(s["sign"] == closing, F.struct((acc["depth"] - 1).alias("depth"), acc["bad"].alias("bad")))
-                .otherwise(acc)
-            )
+def _balance(opening: str, closing: str, extra: str, lacking: str, word: str) -> Column:
+    """Fold over a code's signs: the depth, and lines where a closing sign has no partner; there the depth starts anew."""
+    signs = F.flatten(F.transform("_lines", lambda l: F.transform(F.regexp_extract_all(l["c"], F.lit(rf"([\{opening}\{closing}])"), F.lit(1)), lambda s: F.struct(l["line_no"].alias("line_no"), s.alias("s")))))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("bad"))
 
-        return F.aggregate(signs, start, step)
+    def step(acc: Column, s: Column) -> Column:
+        return (
+            F.when(s["s"] == opening, F.struct((acc["depth"] + 1).alias("depth"), acc["bad"].alias("bad")))
+            .when(acc["depth"] == 0, F.struct(F.lit(0).alias("depth"), F.array_append(acc["bad"], s["line_no"]).alias("bad")))
+            .otherwise(F.struct((acc["depth"] - 1).alias("depth"), acc["bad"].alias("bad")))
+        )
 
-    return fold
+    def told(acc: Column) -> Column:
+        closed = F.transform(acc["bad"], lambda n: _diagnostic(n, extra, f"Unmatched closing {word} '{closing}'"))
+        text = F.concat(F.lit(f"Unclosed {word} - "), acc["depth"].cast("string"), F.lit(f" '{opening}' without matching '{closing}'"))
+        return F.concat(closed, _once(acc["depth"] > 0, _diagnostic(F.size("_lines"), lacking, text)))
+
+    return F.aggregate(signs, start, step, told)
+
+
+def _reassigned() -> Column:
+    pick = lambda pattern: F.filter(F.transform("_lines", lambda l: F.struct(l["line_no"].alias("line_no"), F.regexp_extract(l["c"], pattern, 1).alias("n"))), lambda x: x["n"] != "")
+    declared = pick(r"^\s*(?:var\s+|varip\s+)?(?:\w+\s+)?(\w+)\s*=(?![=>])")
+    early = F.filter(pick(r"^\s*(\w+)\s*:="), lambda u: ~F.exists(declared, lambda d: (d["n"] == u["n"]) & (d["line_no"] <= u["line_no"])))
+    text = lambda n: F.concat(F.lit("'"), n, F.lit("' uses := before being declared with =. Use = for first declaration"))
+    return F.transform(early, lambda u: _diagnostic(u["line_no"], "LOCAL_REASSIGN", text(u["n"])))
+
+
+def _strategy() -> Column:
+    declared = F.exists("_lines", lambda l: F.rlike(l["c"], F.lit(r"\bstrategy\s*\(")))
+    called = F.exists("_lines", lambda l: F.rlike(l["c"], F.lit(r"\bstrategy\.(entry|exit|close|order|cancel)")))
+    return _once(called & ~declared, _diagnostic(F.lit(0), "", "strategy.* functions used without strategy() declaration. Use strategy() instead of indicator()"))
+
+
+def _bare() -> Column:
+    pattern = F.lit(rf"(?<![\w.])({'|'.join(BARE_FUNCTIONS)})\s*\(")
+    named = F.transform("_lines", lambda l: F.struct(l["line_no"].alias("line_no"), F.array_min(F.regexp_extract_all(l["c"], pattern, F.lit(1))).alias("n")))
+    text = lambda n: F.concat(F.lit("Bare '"), n, F.lit("()' is v5 syntax. Use ta."), n, F.lit("() in v6"))
+    return F.transform(F.filter(named, lambda x: x["n"].isNotNull()), lambda x: _diagnostic(x["line_no"], "", text(x["n"])))
 
 
 def lint(codes: DataFrame, key: str = "doc_id", code: str = "code") -> DataFrame:
@@ -52,72 +107,26 @@ def lint(codes: DataFrame, key: str = "doc_id", code: str = "code") -> DataFrame
     Rules: version header, old study call, bare old colours, balance of parentheses and brackets, reassignment before
     declaration, comparison with na, unchecked array access, varip without input, strategy calls without declaration,
     the removed transp argument, bare functions (of several in a line the first by name). String literals and comments
-    never match. Null and empty codes give no row. A code is one text, so its lines fit a task.
+    never match. Null and empty codes give no row.
     """
-    lines = code_lines(codes, key, code)
-    clean = F.col("clean")
-    at = F.col("line_no")
-    out = []
-
-    head = lines.filter("line_no <= 10").groupBy(key).agg(
-        F.max(F.col("raw").contains("//@version=6")).alias("is_new"),
-        F.min(F.when(F.col("raw").rlike(r"^\s*//@version=\d"), F.struct("line_no", F.regexp_extract("raw", r"//@version=(\d)", 1).alias("v")))).alias("told"),
-    ).filter("NOT is_new")
-    other = F.col("told").isNotNull() & (F.col("told.v") != "6")
-    out.append(head.select(*_diagnostic(key, F.when(other, F.col("told.line_no")).otherwise(1), "LOCAL_VERSION", F.when(other, F.concat(F.lit("Version "), F.col("told.v"), F.lit(" detected. This server requires //@version=6"))).otherwise("Missing //@version=6 header. First line must be //@version=6"))))
-
-    study = lines.filter(clean.rlike(r"\bstudy\s*\(")).groupBy(key).agg(F.min("line_no").alias("line_no"))
-    out.append(study.select(*_diagnostic(key, at, "LOCAL_V5_STUDY", F.lit("study() is v5 syntax. Use indicator() in v6"))))
-
-    named = F.regexp_extract(clean, r"\bcolor\s*=\s*(\w+)", 1)
-    filled = F.regexp_extract(clean, r"\bbgcolor\s*\(\s*(\w+)", 1)
-    for color in (named, filled):
-        out.append(lines.filter(color.isin(*OLD_COLORS)).select(*_diagnostic(key, at, "LOCAL_V4_COLOR", F.concat(F.lit("Bare color '"), color, F.lit("' is v4 syntax. Use color."), color, F.lit(" in v6")))))
-
-    signs = (
-        lines.select(key, "line_no", F.posexplode(F.regexp_extract_all(clean, F.lit(r"([()\[\]])"), F.lit(1))).alias("pos", "sign"))
-        .groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "pos", "sign"))), lambda s: F.struct(s["line_no"].alias("line_no"), s["sign"].alias("sign"))).alias("signs"))
-        .join(lines.groupBy(key).agg(F.max("line_no").alias("last_line")), key)
-    )
-    for opening, closing, extra, lacking, word in (("(", ")", "CE10016", "CE10015", "parenthesis"), ("[", "]", "LOCAL_BRACKET", "LOCAL_BRACKET", "bracket")):
-        folded = signs.withColumn("f", _balance(opening, closing)(F.col("signs")))
-        out.append(folded.select(key, F.explode("f.bad").alias("line_no")).select(*_diagnostic(key, at, extra, F.lit(f"Unmatched closing {word} '{closing}'"))))
-        out.append(folded.filter("f.depth > 0").select(*_diagnostic(key, F.col("last_line"), lacking, F.concat(F.lit(f"Unclosed {word} - "), F.col("f.depth").cast("string"), F.lit(f" '{opening}' without matching '{closing}'")))))
-
-    declared = F.regexp_extract(clean, r"^\s*(?:var\s+|varip\s+)?(?:\w+\s+)?(\w+)\s*=(?![=>])", 1)
-    changed = F.regexp_extract(clean, r"^\s*(\w+)\s*:=", 1)
-    first = lines.select(key, declared.alias("name"), "line_no").filter("name != ''").groupBy(key, "name").agg(F.min("line_no").alias("declared_at"))
-    uses = lines.select(key, changed.alias("name"), "line_no").filter("name != ''").join(first, [key, "name"], "left").filter("declared_at IS NULL OR declared_at > line_no")
-    out.append(uses.select(*_diagnostic(key, at, "LOCAL_REASSIGN", F.concat(F.lit("'"), F.col("name"), F.lit("' uses := before being declared with =. Use = for first declaration")))))
-
-    simple = (
-        (r"==\s*na\b|\bna\s*==", "LOCAL_NA_CMP", "Use na(x) instead of x == na for na comparison", "error"),
-        (r"!=\s*na\b|\bna\s*!=", "", "Use not na(x) instead of x != na for na comparison", "error"),
-        (r"array\.get\s*\(", "", "array.get() without bounds check may cause runtime error. Check index < array.size() first", "warning"),
-        (r"^\s*varip\s+\w+\s*=\s*(?!.*input\().+", "", "varip is designed for input() values. Complex expressions may not work correctly", "warning"),
-        (r",\s*transp\s*=", "", "transp= parameter removed in v6. Use color.new(color, transparency) instead", "warning"),
-    )
-    for pattern, mark, text, kind in simple:
-        out.append(lines.filter(clean.rlike(pattern)).select(*_diagnostic(key, at, mark, F.lit(text), kind)))
-
-    strategy = lines.groupBy(key).agg(F.max(clean.rlike(r"\bstrategy\s*\(")).alias("declared"), F.max(clean.rlike(r"\bstrategy\.(entry|exit|close|order|cancel)")).alias("called")).filter("called AND NOT declared")
-    out.append(strategy.select(*_diagnostic(key, F.lit(0), "", F.lit("strategy.* functions used without strategy() declaration. Use strategy() instead of indicator()"))))
-
-    bare = F.array_min(F.regexp_extract_all(clean, F.lit(rf"(?<![\w.])({'|'.join(BARE_FUNCTIONS)})\s*\("), F.lit(1)))
-    out.append(lines.filter(bare.isNotNull()).select(*_diagnostic(key, at, "", F.concat(F.lit("Bare '"), bare, F.lit("()' is v5 syntax. Use ta."), bare, F.lit("() in v6")))))
-
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.unionByName(more)
-    return rows
+    rules = [
+        _header(), _study(), _colors(r"\bcolor\s*=\s*(\w+)"), _colors(r"\bbgcolor\s*\(\s*(\w+)"), _balance("(", ")", "CE10016", "CE10015", "parenthesis"), _balance("[", "]", "LOCAL_BRACKET", "LOCAL_BRACKET", "bracket"), _reassigned(),
+        _matching(r"==\s*na\b|\bna\s*==", "LOCAL_NA_CMP", "Use na(x) instead of x == na for na comparison"), _matching(r"!=\s*na\b|\bna\s*!=", "", "Use not na(x) instead of x != na for na comparison"),
+        _matching(r"array\.get\s*\(", "", "array.get() without bounds check may cause runtime error. Check index < array.size() first", "warning"),
+        _matching(r"^\s*varip\s+\w+\s*=\s*(?!.*input\().+", "", "varip is designed for input() values. Complex expressions may not work correctly", "warning"),
+        _strategy(), _matching(r",\s*transp\s*=", "", "transp= parameter removed in v6. Use color.new(color, transparency) instead", "warning"), _bare(),
+    ]
+    rows = codes.filter(F.col(code) != "").select(key, raw_lines(F.col(code)).alias("_raw")).withColumn("_lines", clean_lines(F.col("_raw")))
+    return rows.select(key, F.explode(F.concat(*rules)).alias("d")).select(key, "d.*")
 
 
 def code_summary(codes: DataFrame, key: str = "doc_id", code: str = "code") -> DataFrame:
-    """(key, n_lines, n_plots, n_inputs, n_vars, n_comments, has_request, script_type): counts per code in one pass over its lines."""
-    lines = code_lines(codes, key, code)
-    c = F.col("clean")
-    return lines.groupBy(key).agg(
-        F.count("*").alias("n_lines"), F.count_if(c.rlike(r"\bplot\w*\s*\(")).alias("n_plots"), F.count_if(c.rlike(r"\binput(\.\w+)?\s*\(")).alias("n_inputs"), F.count_if(c.rlike(r"^\s*(var|varip)\s")).alias("n_vars"),
-        F.count_if(F.col("raw").rlike(r"^\s*//")).alias("n_comments"), F.max(c.rlike(r"\brequest\.")).alias("has_request"),
-        F.when(F.max(c.rlike(r"\bstrategy\s*\(")), "strategy").when(F.max(c.rlike(r"\blibrary\s*\(")), "library").when(F.max(c.rlike(r"\b(indicator|study)\s*\(")), "indicator").otherwise("unknown").alias("script_type"),
+    """(key, n_lines, n_plots, n_inputs, n_vars, n_comments, has_request, script_type): counts per code, inside its row."""
+    rows = codes.filter(F.col(code) != "").select(key, raw_lines(F.col(code)).alias("_raw")).withColumn("_lines", clean_lines(F.col("_raw")))
+    count = lambda pattern: F.size(F.filter("_lines", lambda l: F.rlike(l["c"], F.lit(pattern))))
+    has = lambda pattern: F.exists("_lines", lambda l: F.rlike(l["c"], F.lit(pattern)))
+    return rows.select(
+        key, F.size("_raw").alias("n_lines"), count(r"\bplot\w*\s*\(").alias("n_plots"), count(r"\binput(\.\w+)?\s*\(").alias("n_inputs"), count(r"^\s*(var|varip)\s").alias("n_vars"),
+        F.size(F.filter("_raw", lambda l: F.rlike(l, F.lit(r"^\s*//")))).alias("n_comments"), has(r"\brequest\.").alias("has_request"),
+        F.when(has(r"\bstrategy\s*\("), "strategy").when(has(r"\blibrary\s*\("), "library").when(has(r"\b(indicator|study)\s*\("), "indicator").otherwise("unknown").alias("script_type"),
     )
