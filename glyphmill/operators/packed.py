@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.operators.skew import salted_join
+from glyphmill.session import cut
 
 #: Skeletons with their rules are broadcast up to this many; beyond it they are joined by a shuffle with salts.
 BROADCAST_SKELETONS = 20_000
@@ -117,9 +118,8 @@ def unpack(records: DataFrame, key: str = "row_no", fields: tuple[str, ...] = ("
         .withColumn("skeleton", skeleton(F.col("cell"), F.col("field_name")))
     )
     shapes = cells.groupBy("skeleton").agg(F.count("*").alias("n_cells"))
-    rules = shapes.mapInPandas(_rules, "skeleton string, n_cells bigint, rule array<struct<run:int,wrap:string>>")
-    # The bound of the broadcast is measured first; one skeleton more than allowed refuses it.
-    few = shapes.limit(broadcast_skeletons + 1).count() <= broadcast_skeletons
+    rules = cut(shapes.mapInPandas(_rules, "skeleton string, n_cells bigint, rule array<struct<run:int,wrap:string>>"))
+    few = rules.count() <= broadcast_skeletons  # the bound of the broadcast is measured
     ruled = cells.join(F.broadcast(rules.drop("n_cells")), "skeleton") if few else salted_join(cells, rules, ["skeleton"], "n_cells", "row_no")
     cell, field = F.col("cell"), F.col("field_name")
     runs = _by_form(F.substring("skeleton", 1, 1), field, LIST_MARKS, lambda pattern: F.regexp_extract_all(cell, F.lit(pattern), F.lit(0)))
