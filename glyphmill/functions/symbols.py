@@ -38,18 +38,16 @@ def name_key(col: Column) -> Column:
     return F.when(words != "", words).otherwise(F.nullif(signs, F.lit("")))
 
 
-def is_swapped(name: Column, category: Column) -> Column:
-    """True where the two fields stand in the other's place: only the name field holds a category."""
-    n, c = squash(name), squash(category)
-    return F.coalesce(n.isin(*CATEGORIES) & name_key(category).isNotNull() & ~c.isin(*CATEGORIES), F.lit(False))
-
-
 def symbol_struct(name: Column, category: Column) -> Column:
-    """struct(sym_name, sym_category) of a record; sym_name is null where the record has no name."""
-    swapped = is_swapped(name, category)
+    """struct(sym_name, sym_category) of a record; sym_name is null where the record has no name.
+
+    The fields are taken the other way round where only the name field holds a category.
+    """
+    n, c = squash(name), squash(category)
+    swapped = F.coalesce(n.isin(*CATEGORIES) & name_key(category).isNotNull() & ~c.isin(*CATEGORIES), F.lit(False))
     return F.struct(
-        name_key(F.when(swapped, category).otherwise(name)).alias("sym_name"),
-        F.nullif(squash(F.when(swapped, name).otherwise(category)), F.lit("")).alias("sym_category"),
+        F.when(swapped, name_key(category)).otherwise(name_key(name)).alias("sym_name"),
+        F.nullif(F.when(swapped, n).otherwise(c), F.lit("")).alias("sym_category"),
     )
 
 
