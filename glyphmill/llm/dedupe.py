@@ -17,15 +17,24 @@ from glyphmill.operators.skew import salted_join
 LETTER_GROUPS = ("a", "e", "i", "o", "u", "lr", "nm", "st", "cdg", "0123456789")
 
 
-def cheap_class(name: Column, category: Column) -> Column:
-    """struct(length, histogram) of the letters and digits of both fields together, whatever their order and dress."""
-    text = F.lower(F.concat_ws("", name, category))
-    bare = F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", "")
+def bare_text(name: Column, category: Column) -> Column:
+    """Letters, marks and digits of both fields together, in lower case."""
+    return F.regexp_replace(F.lower(F.concat_ws("", name, category)), r"[^\p{L}\p{M}\p{N}]+", "")
+
+
+def histogram(bare: Column) -> Column:
+    """Counts of the letter groups packed into a number; blind to the order of the letters, so to that of the fields."""
     counts = [F.length(bare) - F.length(F.translate(bare, group, "")) for group in LETTER_GROUPS]
     packed = counts[0].cast("bigint")
     for count in counts[1:]:
-        packed = packed * 61 + count
-    return F.struct(F.length(bare).alias("length"), packed.alias("histogram"))
+        packed = packed * 61 + F.least(count, F.lit(60))
+    return packed
+
+
+def cheap_class(rows: DataFrame, id_col: str, name: str, category: str) -> DataFrame:
+    """(id, _name, _category, length, histogram) of every row: the invariants that cost little."""
+    bare = rows.select(F.col(id_col), F.col(name).alias("_name"), F.col(category).alias("_category"), bare_text(F.col(name), F.col(category)).alias("_bare"))
+    return bare.select(id_col, "_name", "_category", F.length("_bare").alias("length"), histogram(F.col("_bare")).alias("histogram"))
 
 
 def refine(rows: DataFrame, id_col: str = "rec_id", name: str = "name", category: str = "category") -> DataFrame:
@@ -33,9 +42,7 @@ def refine(rows: DataFrame, id_col: str = "rec_id", name: str = "name", category
 
     Rows whose cheap class has one member are unique and end here; rows without a name have no symbol and are left out.
     """
-    classed = rows.select(F.col(id_col), F.col(name).alias("_name"), F.col(category).alias("_category"), cheap_class(F.col(name), F.col(category)).alias("_class")).select(
-        id_col, "_name", "_category", "_class.length", "_class.histogram"
-    )
+    classed = cheap_class(rows, id_col, name, category)
     several = classed.groupBy("length", "histogram").agg(F.count("*").alias("_members")).filter(F.col("_members") > 1)
     inside = salted_join(classed, several, ["length", "histogram"], "_members", id_col)
     symbol = symbol_struct(F.col("_name"), F.col("_category"))

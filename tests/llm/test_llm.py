@@ -40,10 +40,15 @@ def test_copies(spark):
     assert dedupe.copies(df.limit(0)).count() == 0
 
 
+def test_long_names_do_not_overflow(spark):
+    df = records(spark, [(1, "a" * 5_000, "type"), (2, "A" * 5_000, "TYPE"), (3, "9" * 70_000, "type")])
+    assert found(dedupe.copies(df).select("first_id", "rec_id")) == [(1, 2)]
+
+
 def test_cheap_class_only_splits_what_differs(spark):
     """Rows of one symbol never fall into different cheap classes."""
     df = records(spark, [(i, n, c) for i, (n, c) in enumerate([("lib.fooBar9", "type"), ("TYPE.", "LIB foo_bar-9"), ("lib．foobar9​", "(type)")])])
-    assert df.select(dedupe.cheap_class(F.col("name"), F.col("category")).alias("k")).distinct().count() == 1
+    assert dedupe.cheap_class(df, "rec_id", "name", "category").select("length", "histogram").distinct().count() == 1
 
 
 # 5 -------------------------------------------------------------------------------------------------------------
