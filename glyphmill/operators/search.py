@@ -151,7 +151,7 @@ def fuzzy_names(names: DataFrame, queries: DataFrame, score: float = 70.0, best:
     out. All names are compared in blocks; pairs whose lengths cannot reach the score are passed over.
     """
     plain = lambda d: d.select(F.lower(F.replace(strip(F.col("name")), F.lit("()"), F.lit(""))).alias("name")).filter("name != ''").distinct()
-    corpus, asked = plain(names).withColumn("v", F.col("name")), plain(queries).withColumn("v", F.col("name"))
+    corpus, asked = cut(plain(names)).withColumn("v", F.col("name")), cut(plain(queries)).withColumn("v", F.col("name"))
     pairs = blocked_pairs(asked, corpus, "name", "v", asked.count(), corpus.count())
 
     def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,13 +174,15 @@ def fuzzy_names(names: DataFrame, queries: DataFrame, score: float = 70.0, best:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best).select("query", "rank", "name", F.round("score", 6).alias("score"))
 
 
-def content_dedup(rows: DataFrame, text: str, rank: str, distance: str | None = None, limit: float = 0.7, prefix: int = 120) -> DataFrame:
+def content_dedup(rows: DataFrame, text: str, rank: str, distance: str | None = None, limit: float = 0.7, prefix: int = 120, keep: list[str] | None = None) -> DataFrame:
     """The first row per beginning of the text, by ``rank``; the distance cut comes after, so a far first copy hides a nearer one.
 
+    Only a digest of the beginning and the columns to ``keep`` (all of them by default) are shuffled.
+
     The comparison key is the lower-case beginning by design of the operator; the text itself stays whole.
     """
     key = F.lower(strip(F.substring(F.coalesce(text, F.lit("")), 1, prefix)))
-    first = rows.withColumn("_key", F.md5(key)).groupBy("_key").agg(F.min_by(F.struct(*rows.columns), F.col(rank)).alias("_row")).select("_row.*")
+    first = rows.withColumn("_key", F.md5(key)).groupBy("_key").agg(F.min_by(F.struct(*(keep or rows.columns)), F.col(rank)).alias("_row")).select("_row.*")
     return first.filter(F.col(distance) < limit) if distance else first
 
 

@@ -37,7 +37,7 @@ def vector_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents after those with the beginning of an earlier one are gone."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return search.content_dedup(rows, "text", "doc_id").select("doc_id", "source")
+    return search.content_dedup(rows, "text", "doc_id", keep=["doc_id", "source"])
 
 
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
