@@ -86,6 +86,10 @@ ORACLE: dict[str, str] = {
     "code_summary": f"""SELECT code_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(clean, '\\bplot\\w*\\s*\\(')) AS n_plots, count(*) FILTER (regexp_matches(clean, '\\binput(\\.\\w+)?\\s*\\(')) AS n_inputs, count(*) FILTER (regexp_matches(clean, '^\\s*(var|varip)\\s')) AS n_vars,
         count(*) FILTER (regexp_matches(raw, '^\\s*//')) AS n_comments, bool_or(regexp_matches(clean, '\\brequest\\.')) AS has_request, CASE WHEN bool_or(regexp_matches(clean, '\\bstrategy\\s*\\(')) THEN 'strategy' WHEN bool_or(regexp_matches(clean, '\\blibrary\\s*\\(')) THEN 'library'
         WHEN bool_or(regexp_matches(clean, '\\b(indicator|study)\\s*\\(')) THEN 'indicator' ELSE 'unknown' END AS script_type FROM {_LINES} GROUP BY 1""",
+    "sanitize_texts": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS text_digest, CASE WHEN l = '' THEN 'Script' ELSE substring(l, 1, 100) END AS literal,
+        CAST(CASE WHEN length(p) > 200 THEN 203 ELSE length(p) END AS INT) AS redacted_chars
+        FROM (SELECT doc_id, text, regexp_replace(regexp_replace(translate(text, '"\', '''/'), '[\x00-\x1f]', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS l,
+          regexp_replace(text, '(/[A-Za-z0-9_./ -]+|[A-Z]:\\[\\A-Za-z0-9_. -]+)', '[path]', 'g') AS p FROM documents WHERE text IS NOT NULL)""",
     "error_codes": f"""SELECT code, n, n_docs, coalesce(meaning, '') AS meaning FROM (SELECT code, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(C[EW]\\d{{5}}) @ \\d+:\\d+', 1)) AS code FROM documents) GROUP BY 1) LEFT JOIN (VALUES {_MEANINGS}) m(code, meaning) USING (code)""",
     "error_symbols": """WITH n AS (SELECT doc_id, lower(coalesce(nullif(regexp_extract(h, '''([a-zA-Z_][a-zA-Z0-9_.]*)''', 1), ''), nullif(regexp_extract(h, '(?i)call\\s+[''"]?([a-zA-Z_][a-zA-Z0-9_.]*)', 1), ''), nullif(regexp_extract(h, '(?i)function\\s+[''"]?([a-zA-Z_][a-zA-Z0-9_.]*)', 1), ''))) AS name_key
           FROM (SELECT doc_id, replace(split_part(text, chr(10), 1), '`', '''') AS h FROM documents WHERE doc_kind = 'error_report')),
