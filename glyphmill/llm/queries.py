@@ -68,7 +68,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _SYMBOLS = f"SELECT rec_id, sym_name, coalesce(sym_category, '') AS sym_category FROM ({symbol_sql('pine_merged_entries', 'rec_id')}) WHERE sym_name IS NOT NULL"
 
+_TRIMMED = r"regexp_replace({0}, '^[\s\p{{Z}}\p{{Cf}}]+|[\s\p{{Z}}\p{{Cf}}]+$', '', 'g')"
+_CODE = "nullif(regexp_replace(" + _TRIMMED.format("lower(c)") + r", '[\s\p{Z}_\-]+', '_', 'g'), '')"
+_AT = r"TRY_CAST(CASE WHEN regexp_matches(scraped_at, '(Z|[+-]\d\d:\d\d)$') THEN scraped_at ELSE scraped_at || '+00:00' END AS TIMESTAMPTZ)"
+_STAND_INS = ", ".join(f"'{x}'" for x in survivors.STAND_INS)
+_ELIDED = r"regexp_matches(v, '(?:…|\.\.\.|\[cut\])$|\((?:…|\.\.\.)\)')"
+_STEM = r"regexp_replace(v, '[\s\p{Z}]*(?:…|\.\.\.|\[cut\])$', '')"
+
+_SURVIVORS = f"""
+WITH r AS MATERIALIZED (SELECT rec_id, sym_name || '|' || coalesce(sym_category, '') AS k, sources, syntax, description, {_AT} AS at_time FROM ({symbol_sql('pine_merged_entries', 'rec_id, sources, syntax, description, scraped_at')}) WHERE sym_name IS NOT NULL),
+g AS MATERIALIZED (SELECT k, min(rec_id) AS first_rec_id FROM r GROUP BY k HAVING count(*) > 1),
+c AS MATERIALIZED (SELECT rec_id, k, {_CODE} AS code FROM (SELECT rec_id, k, unnest(sources) AS c FROM r SEMI JOIN g USING (k))),
+b AS (SELECT rec_id, min(trust_rank) AS best FROM c JOIN source_trust ON source_code = code GROUP BY 1),
+v AS MATERIALIZED (SELECT k, slot, rec_id, at_time, best, v, {_ELIDED} AS elided FROM (SELECT k, rec_id, at_time, best, unnest(['syntax', 'description']) AS slot, unnest([{_TRIMMED.format('syntax')}, {_TRIMMED.format('description')}]) AS v FROM r SEMI JOIN g USING (k) LEFT JOIN b USING (rec_id))
+      WHERE v <> '' AND lower(v) NOT IN ({_STAND_INS})),
+stems AS MATERIALIZED (SELECT DISTINCT k, slot, CASE WHEN elided THEN {_STEM} ELSE v END AS stem FROM v),
+w AS (SELECT * FROM v WHERE NOT elided AND NOT EXISTS (SELECT 1 FROM stems s WHERE s.k = v.k AND s.slot = v.slot AND s.stem <> v.v AND starts_with(s.stem, v.v)))
+SELECT first_rec_id, slot, rec_id AS from_rec_id FROM w JOIN g USING (k) QUALIFY row_number() OVER (PARTITION BY k, slot ORDER BY best NULLS LAST, at_time DESC NULLS LAST, rec_id) = 1
+UNION ALL SELECT first_rec_id, 'sources/' || code AS slot, min(rec_id) FROM c JOIN g USING (k) WHERE code IS NOT NULL GROUP BY first_rec_id, code
+"""
+
 ORACLE: dict[str, str] = {
+    "p5_found": _SURVIVORS,
     "p1_found": f"""SELECT first_rec_id, rec_id FROM (SELECT rec_id, min(rec_id) OVER (PARTITION BY sym_name, sym_category) AS first_rec_id FROM ({_SYMBOLS})) WHERE rec_id > first_rec_id""",
     "p1_symbols": f"SELECT sym_name, sym_category, min(rec_id) AS first_rec_id, count(*) AS n_rows FROM ({_SYMBOLS}) GROUP BY 1, 2",
     "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
