@@ -1,10 +1,11 @@
-"""Caches and circuit breakers as state machines over event time: folds in batch, keyed state in streams."""
+"""Caches and circuit breakers as state machines over event time: sorted walks in batch, keyed state in streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,11 +13,36 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 _SECOND = 1_000_000
 
 
-def _islands(events: DataFrame, keys: list[str], starts: Column) -> DataFrame:
-    """Adds island: events of a key from one start to the next. What comes before a start has no effect behind it,
-    so islands are folded apart and a busy key spreads over many groups."""
+def _stepped(events: DataFrame, keys: list[str], ts: str, tie: str, kind: Column, starts: Column, step: Callable, outputs: dict[str, str]) -> DataFrame:
+    """(keys, t, tie, outputs): every event with what a state machine says of it, in the order of times.
+
+    ``starts`` marks events before which no event has an effect behind them, so the events from one to the next, an
+    island, are walked apart and a busy key spreads over many tasks. Within an island events stream through the task in
+    sorted batches: only the machine's state is held, never the island. ``step`` changes the state in place and returns
+    the outputs; a new island begins with an empty state.
+    """
+    rows = events.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).alias("tie"), kind.alias("kind")).filter("t is not null")
     order = Window.partitionBy(*keys).orderBy("t", "tie")
-    return events.withColumn("gap", F.col("t") - F.lag("t").over(order)).withColumn("island", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(order))
+    marked = rows.withColumn("gap", F.col("t") - F.lag("t").over(order)).withColumn("starts", F.coalesce(starts | F.col("gap").isNull(), F.lit(True)))
+    islands = marked.withColumn("island", F.sum(F.col("starts").cast("int")).over(order)).drop("gap")
+    spread = islands.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "t", "tie")
+    kept = [*keys, "t", "tie"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
+        for batch in batches:
+            said = []
+            for t, what, first in zip(*(batch.column(c).to_pylist() for c in ("t", "kind", "starts"))):
+                if first:
+                    state = {}
+                said.append(step(state, t, what))
+            columns = list(zip(*said)) if said else [()] * len(outputs)
+            arrays = [pa.array(values, {"bigint": pa.int64(), "int": pa.int32()}[kind]) for values, kind in zip(columns, outputs.values())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=[*kept, *outputs])
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + "".join(f", `{c}` {kind}" for c, kind in outputs.items())
+    return spread.mapInArrow(walk, schema)
 
 
 def ttl_hits(events: DataFrame, keys: list[str], ts: str, tie: str, ttl: int) -> DataFrame:
@@ -25,22 +51,20 @@ def ttl_hits(events: DataFrame, keys: list[str], ts: str, tie: str, ttl: int) ->
     A hit does not refresh the entry. An event at least ``ttl`` behind the one before is a miss whatever came before.
     Events without a time are left out; a null key is a key of its own.
     """
-    rows = events.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).alias("tie")).filter("t is not null")
-    runs = _islands(rows, keys, F.col("gap") >= ttl * _SECOND).groupBy(*keys, "island").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    start = F.struct(F.lit(None).cast("bigint").alias("set"), F.lit(0).cast("bigint").alias("misses"))
-    fold = F.aggregate(
-        "ts", start,
-        lambda a, t: F.when(a["set"].isNull() | (t - a["set"] >= ttl * _SECOND), F.struct(t.alias("set"), (a["misses"] + 1).alias("misses"))).otherwise(a),
-    )
-    return runs.withColumn("f", fold).groupBy(*keys).agg(F.sum(F.size("ts")).alias("n_events"), F.sum("f.misses").alias("n_misses")).withColumn("n_hits", F.col("n_events") - F.col("n_misses"))
 
+    def step(state: dict, t: int, _: object) -> tuple:
+        miss = t - state.get("set", t - ttl * _SECOND) >= ttl * _SECOND
+        if miss:
+            state["set"] = t
+        return (int(miss),)
+
+    walked = _stepped(events, keys, ts, tie, F.lit(None).cast("string"), F.col("gap") >= ttl * _SECOND, step, {"miss": "int"})
+    return walked.groupBy(*keys).agg(F.count("*").alias("n_events"), F.sum("miss").alias("n_misses")).withColumn("n_hits", F.col("n_events") - F.col("n_misses"))
 
-def _folded(events: DataFrame, keys: list[str], ts: str, tie: str, kind: Column, longest: int, start: Column, step) -> DataFrame:
-    rows = events.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).alias("tie"), kind.alias("kind")).filter("t is not null")
-    # a success behind the longest time a breaker stays open finds it closed and resets it
-    runs = _islands(rows, keys, (F.col("kind") == "success") & (F.col("gap") > longest * _SECOND))
-    runs = runs.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("t", "tie", "kind"))).alias("es"))
-    return runs.withColumn("f", F.aggregate("es", start, step))
+
+def _quiet(longest: int) -> Column:
+    """A success behind the longest time a breaker stays open finds it closed and resets it."""
+    return (F.col("kind") == "success") & (F.col("gap") > longest * _SECOND)
 
 
 def store_breaker(events: DataFrame, keys: list[str], ts: str, tie: str, kind: Column, threshold: int = 3, cooldown: int = 30) -> DataFrame:
@@ -49,24 +73,24 @@ def store_breaker(events: DataFrame, keys: list[str], ts: str, tie: str, kind: C
     kind is failure or success. Open, it rejects every event for ``cooldown`` seconds; the first event behind that finds
     it reset. A success resets the failures. failures is the count at the end.
     """
-    big = lambda x: F.lit(x).cast("bigint")
-    start = F.struct(big(0).alias("n"), big(0).alias("until"), big(0).alias("openings"), big(0).alias("rejected"))
-
-    def state(n, until, openings, rejected):
-        return F.struct(n.alias("n"), until.alias("until"), openings.alias("openings"), rejected.alias("rejected"))
 
-    def step(a: Column, e: Column) -> Column:
-        over = (a["until"] > 0) & (e["t"] > a["until"])
-        n, until = F.when(over, big(0)).otherwise(a["n"]), F.when(over, big(0)).otherwise(a["until"])
-        trips = n + 1 >= threshold
-        return (
-            F.when(e["t"] < a["until"], state(a["n"], a["until"], a["openings"], a["rejected"] + 1))
-            .when(e["kind"] == "failure", state(n + 1, F.when(trips, e["t"] + cooldown * _SECOND).otherwise(until), a["openings"] + trips.cast("bigint"), a["rejected"]))
-            .otherwise(state(big(0), F.when(n > 0, big(0)).otherwise(until), a["openings"], a["rejected"]))
-        )
-
-    runs = _folded(events, keys, ts, tie, kind, cooldown, start, step)
-    return runs.groupBy(*keys).agg(F.sum(F.size("es")).alias("n_events"), F.sum("f.openings").alias("n_openings"), F.sum("f.rejected").alias("n_rejected"), F.max_by("f.n", "island").alias("failures"))
+    def step(state: dict, t: int, what: str) -> tuple:
+        n, until, opened, rejected = state.get("n", 0), state.get("until", 0), 0, 0
+        if until and t > until:
+            n = until = 0
+        if t < until:
+            rejected = 1
+        elif what == "failure":
+            n += 1
+            if n >= threshold:
+                until, opened = t + cooldown * _SECOND, 1
+        elif n:
+            n = until = 0
+        state["n"], state["until"] = n, until
+        return opened, rejected, n
+
+    walked = _stepped(events, keys, ts, tie, kind, _quiet(cooldown), step, {"opened": "int", "rejected": "int", "n": "bigint"})
+    return walked.groupBy(*keys).agg(F.count("*").alias("n_events"), F.sum("opened").alias("n_openings"), F.sum("rejected").alias("n_rejected"), F.max_by("n", F.struct("t", "tie")).alias("failures"))
 
 
 def compiler_breaker(events: DataFrame, keys: list[str], ts: str, tie: str, kind: Column, threshold: int = 10, base: int = 60, cap: int = 600) -> DataFrame:
@@ -76,27 +100,26 @@ def compiler_breaker(events: DataFrame, keys: list[str], ts: str, tie: str, kind
     min(base * 2^min(n - threshold, 5), cap) seconds without jitter. A compiler error resets the failures but not the
     time it is open until; a success resets both. Open, it rejects events, which count nowhere else.
     """
-    big = lambda x: F.lit(x).cast("bigint")
-    names = ("n", "until", "openings", "rejected", "network", "compiler", "success")
-    start = F.struct(*[big(0).alias(x) for x in names])
-
-    def step(a: Column, e: Column) -> Column:
-        def state(**new):
-            return F.struct(*[new.get(x, a[x]).alias(x) for x in names])
-
-        n = a["n"] + 1
-        wait = F.least(F.lit(base) * F.pow(F.lit(2), F.least(n - threshold, F.lit(5))).cast("bigint"), big(cap)) * _SECOND
-        trips = n >= threshold
-        return (
-            F.when(e["t"] < a["until"], state(rejected=a["rejected"] + 1))
-            .when(e["kind"] == "network_failure", state(n=n, until=F.when(trips, e["t"] + wait).otherwise(a["until"]), openings=a["openings"] + trips.cast("bigint"), network=a["network"] + 1))
-            .when(e["kind"] == "compiler_error", state(n=big(0), compiler=a["compiler"] + 1))
-            .otherwise(state(n=big(0), until=big(0), success=a["success"] + 1))
-        )
-
-    runs = _folded(events, keys, ts, tie, kind, cap, start, step)
-    sums = [F.sum(f"f.{x}").alias(f"n_{x}") for x in ("openings", "rejected", "network", "compiler", "success")]
-    return runs.groupBy(*keys).agg(F.sum(F.size("es")).alias("n_events"), *sums, F.max_by("f.n", "island").alias("failures"))
+
+    def step(state: dict, t: int, what: str) -> tuple:
+        n, until = state.get("n", 0), state.get("until", 0)
+        opened = rejected = network = compiler = success = 0
+        if t < until:
+            rejected = 1
+        elif what == "network_failure":
+            n, network = n + 1, 1
+            if n >= threshold:
+                until, opened = t + min(base * 2 ** min(n - threshold, 5), cap) * _SECOND, 1
+        elif what == "compiler_error":
+            n, compiler = 0, 1
+        else:
+            n, until, success = 0, 0, 1
+        state["n"], state["until"] = n, until
+        return opened, rejected, network, compiler, success, n
+
+    counts = ("openings", "rejected", "network", "compiler", "success")
+    walked = _stepped(events, keys, ts, tie, kind, _quiet(cap), step, {**{f"n_{c}": "int" for c in counts}, "n": "bigint"})
+    return walked.groupBy(*keys).agg(F.count("*").alias("n_events"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in counts], F.max_by("n", F.struct("t", "tie")).alias("failures"))
 
 
 def ttl_stream(events: DataFrame, key: str, ts: str, ttl: int) -> DataFrame:
