@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import scalar as S
-from glyphmill.operators import lint, lookup, rewrite
+from glyphmill.operators import hints, lint, lookup, rewrite
 from glyphmill.sources.tables import table
 
 
@@ -60,6 +60,12 @@ def error_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(best, "name_key", "left").select("doc_id", "name_key", "best_row")
 
 
+def hint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the longest built-in name in the see-also cell of each catalogue row."""
+    patterns = hints.pattern_list(table(spark, sf_dir, "builtin_symbols"), "symbol_id", "name")
+    return hints.match_patterns(table(spark, sf_dir, "catalog_records"), "row_no", "raw_see_also", patterns)
+
+
 def sanitize_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text made safe for a literal, and its text without control characters, as digests."""
     rows = table(spark, sf_dir, "documents").filter("text is not null")
@@ -67,7 +73,7 @@ def sanitize_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (lint_code, lint_counts, code_summary, migrate_code, repair_code, error_codes, error_symbols, sanitize_texts)
+    f.__name__: f for f in (lint_code, lint_counts, code_summary, migrate_code, repair_code, error_codes, error_symbols, hint_match, sanitize_texts)
 }
 
 _CODES = "(SELECT rec_id * 1000 + pos AS code_id, code FROM (SELECT rec_id, unnest(examples) AS code, generate_subscripts(examples, 1) - 1 AS pos FROM pine_merged_entries) WHERE code IS NOT NULL)"
@@ -86,6 +92,7 @@ ORACLE: dict[str, str] = {
     "code_summary": f"""SELECT code_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(clean, '\\bplot\\w*\\s*\\(')) AS n_plots, count(*) FILTER (regexp_matches(clean, '\\binput(\\.\\w+)?\\s*\\(')) AS n_inputs, count(*) FILTER (regexp_matches(clean, '^\\s*(var|varip)\\s')) AS n_vars,
         count(*) FILTER (regexp_matches(raw, '^\\s*//')) AS n_comments, bool_or(regexp_matches(clean, '\\brequest\\.')) AS has_request, CASE WHEN bool_or(regexp_matches(clean, '\\bstrategy\\s*\\(')) THEN 'strategy' WHEN bool_or(regexp_matches(clean, '\\blibrary\\s*\\(')) THEN 'library'
         WHEN bool_or(regexp_matches(clean, '\\b(indicator|study)\\s*\\(')) THEN 'indicator' ELSE 'unknown' END AS script_type FROM {_LINES} GROUP BY 1""",
+    "hint_match": """SELECT row_no, min(symbol_id) AS first_match, arg_min(symbol_id, struct_pack(l := -length(builtin_symbols.name), o := symbol_id)) AS longest_match FROM catalog_records JOIN builtin_symbols ON contains(lower(raw_see_also), lower(builtin_symbols.name)) GROUP BY 1""",
     "sanitize_texts": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS text_digest, CASE WHEN l = '' THEN 'Script' ELSE substring(l, 1, 100) END AS literal,
         CAST(CASE WHEN length(p) > 200 THEN 203 ELSE length(p) END AS INT) AS redacted_chars
         FROM (SELECT doc_id, text, regexp_replace(regexp_replace(translate(text, '"\', '''/'), '[\x00-\x1f]', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS l,
