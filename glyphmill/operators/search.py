@@ -41,15 +41,20 @@ def _unit(rows: list, field: str) -> np.ndarray:
     return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)  # a zero vector is near nothing
 
 
-def vector_topk(vectors: DataFrame, k: int = 10, every: int = 50, key: str = "vec_id", value: str = "embedding") -> DataFrame:
+def vector_topk(vectors: DataFrame, k: int = 10, every: int = 50, key: str = "vec_id", value: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k nearest rows by cosine distance of every row whose id ``every`` divides.
 
     Exact: all rows are compared in blocks, each block keeps its own k best, and a rank over those few decides. Ties go
     to the smaller id; a query's own row counts. Rows with a null vector are left out, zero vectors are near nothing.
+    With ``queries``, a table of the same columns, every row of it is asked; what is found are rows of ``vectors`` alone.
     """
     rows = vectors.select(key, value).filter(F.col(value).isNotNull())
-    queries = rows.filter(F.pmod(F.col(key), F.lit(every)) == 0)
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if(F.pmod(F.col(key), F.lit(every)) == 0).alias("q")).first()
+    if queries is None:
+        asked_rows = rows.filter(F.pmod(F.col(key), F.lit(every)) == 0)
+        n_rows, n_queries = rows.agg(F.count("*"), F.count_if(F.pmod(F.col(key), F.lit(every)) == 0)).first()
+    else:
+        asked_rows = queries.select(key, value).filter(F.col(value).isNotNull())
+        n_rows, n_queries = rows.count(), asked_rows.count()
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -61,7 +66,7 @@ def vector_topk(vectors: DataFrame, k: int = 10, every: int = 50, key: str = "ve
                 out = pd.DataFrame({"query_id": np.repeat(qs, order.shape[1]), "vec_id": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
                 yield out[np.isfinite(out["distance"])]
 
-    pairs = blocked_pairs(queries, rows, key, value, sizes.q, sizes.n)
+    pairs = blocked_pairs(asked_rows, rows, key, value, n_queries, n_rows)
     found = pairs.select("q_rows", "c_rows").mapInPandas(nearest, "query_id bigint, vec_id bigint, distance double")
     return _ranked(found, k)
 

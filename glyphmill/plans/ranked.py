@@ -62,13 +62,13 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors, with those of manual entries behind the first hit where the first three have none."""
+    """Nearest vectors, with the ten nearest manual entries behind the first hit where the first three have no wanted category."""
     docs, hits = _about(spark, sf_dir)
     kinds = docs.select("id", F.when(F.col("doc_kind") == "entry", "function").otherwise(F.col("doc_kind")).alias("category"))
     told = hits.join(kinds, "id")
     entries = table(spark, sf_dir, "embeddings").join(kinds.filter("category = 'function'").select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
     queries = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0")
-    near = search.vector_topk(entries.unionByName(queries).dropDuplicates(["vec_id"]), 3).select("query_id", "rank", F.col("vec_id").alias("id")).join(kinds, "id").filter("category = 'function'")
+    near = search.vector_topk(entries, max(10, 3), queries=queries).select("query_id", "rank", F.col("vec_id").alias("id"))
     return search.interleave(told.select("query_id", "rank", "id", "category"), near)
 
 
@@ -111,6 +111,13 @@ ORACLE: dict[str, str] = {
         n AS (SELECT v.query_id, t.id, row_number() OVER (PARTITION BY v.query_id ORDER BY CASE WHEN d.source = t.source THEN 100.0 ELSE 85.0 END DESC, t.seen, t.id) AS name_rank FROM (SELECT DISTINCT query_id FROM v) v JOIN documents d ON d.doc_id = v.query_id JOIN t USING (about_name) WHERE t.seen <= 10),
         b AS (SELECT coalesce(v.query_id, n.query_id) AS query_id, coalesce(v.vec_id, n.id) AS id, v.distance, v.rank, n.name_rank FROM v FULL OUTER JOIN n ON v.query_id = n.query_id AND v.vec_id = n.id)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY name_rank IS NULL, name_rank, rank) AS INT) AS place, id, coalesce(distance, 0.01) AS distance FROM b QUALIFY place <= 10""",
+    "interleaved": f"""WITH c AS (SELECT doc_id AS id, CASE WHEN doc_kind = 'entry' THEN 'function' ELSE doc_kind END AS category FROM documents),
+        h AS (SELECT query_id, rank, id, category FROM ({_TOPK}) JOIN c ON id = vec_id),
+        l AS (SELECT query_id FROM h WHERE rank <= 3 GROUP BY query_id HAVING NOT bool_or(category IN ('function', 'variable', 'type', 'constant'))),
+        s AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank
+          FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d FROM embeddings q, embeddings e JOIN c ON c.id = e.vec_id WHERE q.vec_id % 50 = 0 AND c.category = 'function') QUALIFY rank <= 10)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, rank, id) AS INT) AS place, id
+        FROM (SELECT query_id, rank, id, CASE WHEN rank = 1 THEN 0 ELSE 2 END AS tier FROM h UNION ALL SELECT query_id, rank, id, 1 AS tier FROM s SEMI JOIN l USING (query_id) ANTI JOIN h USING (query_id, id))""",
     "query_terms": f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text,'')), '[a-z0-9_]{{2,}}'), lambda x: x NOT IN ({_STOPS})) AS words FROM documents)
         SELECT doc_id, CAST(len(words) AS INT) AS n_words, CAST(greatest(len(words) - 1, 0) AS INT) AS n_pairs, md5(array_to_string(words, ' ')) AS digest, CASE WHEN len(words) > 1 THEN words[1] || ' ' || words[2] END AS first_pair FROM w""",
 }
