@@ -53,11 +53,15 @@ def _about(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents about the query document's symbol, at most ten, before the nearest vectors; the first ten of both."""
+    """Documents about the query document's symbol, those of its own source first, before the nearest vectors; the first ten of both."""
     docs, hits = _about(spark, sf_dir)
-    ten = docs.filter("about_name is not null").withColumn("seen", F.row_number().over(Window.partitionBy("about_name").orderBy("id"))).filter("seen <= 10")
+    known = docs.filter("about_name is not null").select("id", "about_name", F.col("source").alias("own"))
+    first = lambda *keys: known.withColumn("seen", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter("seen <= 10")
     asked = hits.select("query_id").distinct().join(docs.select(F.col("id").alias("query_id"), "about_name", F.col("source").alias("own")), "query_id")
-    named = asked.join(ten, "about_name").select("query_id", "id", "seen", F.when(F.col("own") == F.col("source"), 100.0).otherwise(85.0).alias("score"))
+    # the ten best of a query by (score, id) are among the first ten of its own source and the first ten of any source
+    same = asked.join(first("about_name", "own"), ["about_name", "own"]).select("query_id", "id", "seen", F.lit(100.0).alias("score"))
+    others = asked.join(first("about_name").withColumnRenamed("own", "source"), "about_name").filter(~F.coalesce(F.col("own") == F.col("source"), F.lit(False)))
+    named = same.unionByName(others.select("query_id", "id", "seen", F.lit(85.0).alias("score")))
     return search.fuse(hits, named, 10)
 
 
