@@ -149,34 +149,39 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * lcs_length(a, b) / (len(a) + len(b))
 
 
-def fuzzy_names(names: DataFrame, queries: DataFrame, score: float = 70.0, best: int = 5) -> DataFrame:
+def fuzzy_names(names: DataFrame, queries: DataFrame, score: float = 70.0, best: int = 5, within: str | None = None) -> DataFrame:
     """(query, rank, name, score): the ``best`` names most like each query, of at least ``score``.
 
     Both sides have one column ``name``; they are made distinct in lower case without ``()``, nulls and blanks left
-    out. All names are compared in blocks; pairs whose lengths cannot reach the score are passed over.
+    out. All names are compared in blocks; pairs whose lengths cannot reach the score are passed over. With ``within``,
+    a text column of both sides that the result has too, only names of a query's own value are compared, nulls with none.
     """
-    plain = lambda d: d.select(F.lower(F.replace(strip(F.col("name")), F.lit("()"), F.lit(""))).alias("name")).filter("name != ''").distinct()
-    corpus, asked = cut(plain(names)).withColumn("v", F.col("name")), cut(plain(queries)).withColumn("v", F.col("name"))
+    name = F.lower(F.replace(strip(F.col("name")), F.lit("()"), F.lit(""))).alias("name")
+    plain = lambda d: d.select(name, (F.col(within) if within else F.lit("")).alias("v")).filter("name != '' AND v IS NOT NULL").distinct()
+    corpus, asked = cut(plain(names)), cut(plain(queries))
     pairs = blocked_pairs(asked, corpus, "name", "v", asked.count(), corpus.count())
 
     def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for qs, cs in zip(frame["q_rows"], frame["c_rows"]):
-                others = [r["name"] for r in cs]
-                for q in (r["name"] for r in qs):
+                others: dict[str, list[str]] = {}
+                for r in cs:
+                    others.setdefault(r["v"], []).append(r["name"])
+                for q, v in ((r["name"], r["v"]) for r in qs):
                     near = []
-                    for name in others:
+                    for name in others.get(v, []):
                         if 200.0 * min(len(q), len(name)) >= score * (len(q) + len(name)):
                             s = indel_ratio(q, name)
                             if s >= score:
-                                near.append((q, name, s))
-                    out += sorted(near, key=lambda x: (-x[2], x[1]))[:best]
-            yield pd.DataFrame(out, columns=["query", "name", "score"])
-
-    found = pairs.select("q_rows", "c_rows").mapInPandas(alike, "query string, name string, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "name")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best).select("query", "rank", "name", F.round("score", 6).alias("score"))
+                                near.append((q, v, name, s))
+                    out += sorted(near, key=lambda x: (-x[3], x[2]))[:best]
+            yield pd.DataFrame(out, columns=["query", "v", "name", "score"])
+
+    found = pairs.select("q_rows", "c_rows").mapInPandas(alike, "query string, v string, name string, score double")
+    order = Window.partitionBy("query", "v").orderBy(F.desc("score"), "name")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
+    return ranked.select("query", *([F.col("v").alias(within)] if within else []), "rank", "name", F.round("score", 6).alias("score"))
 
 
 def content_dedup(rows: DataFrame, text: str, rank: str, distance: str | None = None, limit: float = 0.7, prefix: int = 120, keep: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import scalar as S
 from glyphmill.operators import ladder, search
+from glyphmill.plans.catalog import HOT_NAMES, HOT_NAMESPACES
 from glyphmill.sources.tables import table
 
 
@@ -76,10 +77,18 @@ def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.interleave(told.select("query_id", "rank", "id", "category"), near)
 
 
+def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "entry_removals").filter("removal_id % 50 = 0").select(F.col("removal_id").alias("query_id"), "name", "category")
+
+
 def lookup_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the catalogue answers for removed names whose id 50 divides."""
-    queries = table(spark, sf_dir, "entry_removals").filter("removal_id % 50 = 0").select(F.col("removal_id").alias("query_id"), "name", "category")
-    return ladder.lookup(queries, table(spark, sf_dir, "catalog_records"))
+    return ladder.lookup(_removed(spark, sf_dir), table(spark, sf_dir, "catalog_records"), namespaces=HOT_NAMESPACES, names=HOT_NAMES)
+
+
+def lookup_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names like the removed names for which the catalogue has no answer."""
+    return ladder.suggestions(_removed(spark, sf_dir), table(spark, sf_dir, "catalog_records"))
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +100,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (vector_topk, vector_topk_indexed, topk_recall, vector_relevance, content_dedup, fuzzy_names, rank_fusion, interleaved, lookup_ladder, query_terms)
+    f.__name__: f for f in (vector_topk, vector_topk_indexed, topk_recall, vector_relevance, content_dedup, fuzzy_names, rank_fusion, interleaved, lookup_ladder, lookup_suggestions, query_terms)
 }
 
 _TOPK = """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS INT) AS rank, vec_id, round(d, 6) AS distance
