@@ -54,12 +54,21 @@ def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The symbol each error report names, beside the best catalogue row of that name."""
+    """The symbol that the reference's pattern finds in the first line of an error report, beside the best catalogue row of that name; reports without one are left out."""
     named = table(spark, sf_dir, "documents").filter("doc_kind = 'error_report'").select("doc_id", F.lower(S.error_name(F.replace(F.substring_index("text", "\n", 1), F.lit("`"), F.lit("'")))).alias("name_key")).filter("name_key is not null")
     best = lookup.best_version(table(spark, sf_dir, "catalog_records")).select("name_key", "best_row")
     return named.join(best, "name_key", "left").select("doc_id", "name_key", "best_row")
 
 
+def report_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every error report with the symbol its first line names in any dress, null without one, beside the best catalogue row of that name."""
+    line = F.substring_index("text", "\n", 1)
+    found = F.coalesce(S.error_name(F.replace(line, F.lit("`"), F.lit("'"))), S.error_name(S.undressed(line)))
+    named = table(spark, sf_dir, "documents").filter("doc_kind = 'error_report'").select("doc_id", F.lower(found).alias("name_key"))
+    best = lookup.best_version(table(spark, sf_dir, "catalog_records")).select("name_key", "best_row")
+    return named.join(best, "name_key", "left").select("doc_id", "name_key", "best_row")
+
+
 def hint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first and the longest built-in name in the see-also cell of each catalogue row."""
     patterns = hints.pattern_list(table(spark, sf_dir, "builtin_symbols"), "symbol_id", "name")
@@ -73,7 +82,7 @@ def sanitize_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (lint_code, lint_counts, code_summary, migrate_code, repair_code, error_codes, error_symbols, hint_match, sanitize_texts)
+    f.__name__: f for f in (lint_code, lint_counts, code_summary, migrate_code, repair_code, error_codes, error_symbols, report_symbols, hint_match, sanitize_texts)
 }
 
 _CODES = "(SELECT rec_id * 1000 + pos AS code_id, code FROM (SELECT rec_id, unnest(examples) AS code, generate_subscripts(examples, 1) - 1 AS pos FROM pine_merged_entries) WHERE code IS NOT NULL)"
