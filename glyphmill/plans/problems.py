@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.operators import nested, orphans, packed
+from glyphmill.session import cut
 from glyphmill.sources.tables import table
 
 
@@ -21,9 +22,31 @@ def p2_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("own_json")
 
 
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.bridge(table(spark, sf_dir, "pine_merged_entries"), table(spark, sf_dir, "pine_entry_payloads"), roots=True)
+
+
 def p2_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct child object once, with its number of occurrences."""
-    return nested.objects(nested.bridge(table(spark, sf_dir, "pine_merged_entries"), table(spark, sf_dir, "pine_entry_payloads")))
+    """Each distinct object once, the entries themselves included, with its number of occurrences."""
+    return nested.objects(_occurrences(spark, sf_dir))
+
+
+def p2_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence beside its stored object: the round trip from the flat tables."""
+    rows = cut(_occurrences(spark, sf_dir))
+    return nested.expanded(rows, nested.objects(rows)).select("src_table", "row_key", "child_path", "child_kind", "own_json")
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences whose object or parent is not stored, by table: none."""
+    rows = cut(_occurrences(spark, sf_dir))
+    return nested.unresolved(rows, nested.objects(rows))
+
+
+def p2_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The children of the typed entries, with their text out of the store of distinct objects."""
+    rows = nested.entry_children(table(spark, sf_dir, "pine_merged_entries"))
+    return nested.expanded(rows, nested.objects(rows)).select("row_key", "child_path", "child_kind", "ordinal", "own_json")
 
 
 def _orphan_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -46,7 +69,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_bridge, p2_objects, p3_found, p3_report, p4_found)
+    f.__name__: f for f in (p2_found, p2_bridge, p2_objects, p2_expanded, p2_links, p2_typed, p3_found, p3_report, p4_found)
 }
 
 #: SQL that states a query's result; for the others SQL is too weak (JSON of free shapes, quoting rules).
@@ -86,7 +109,26 @@ o AS (SELECT r.*, CASE WHEN h.k IS NULL AND b.k IS NULL THEN CASE WHEN g.k IS NU
       FROM r LEFT JOIN held h USING (k) LEFT JOIN builtin b USING (k) LEFT JOIN gone g USING (k) WHERE r.k IS NOT NULL)
 """
 
+
+
+def _members_sql(element: str, *names: str) -> str:
+    parts = ", ".join(f"""CASE WHEN {element}."{n}" IS NOT NULL THEN '"{n}":' || CAST(to_json({element}."{n}") AS VARCHAR) END""" for n in sorted(names))
+    return "'{' || concat_ws(',', " + parts + ") || '}'"
+
+
+def _children_sql(field: str, text: str) -> str:
+    each = f"SELECT rec_id, unnest({field}) AS e, generate_subscripts({field}, 1) - 1 AS i FROM pine_merged_entries"
+    return f"SELECT rec_id AS row_key, '{field}[' || i || ']' AS child_path, '{field}' AS child_kind, CAST(i AS INT) AS ordinal, {text} AS own_json FROM ({each}) WHERE e IS NOT NULL"
+
+
 ORACLE: dict[str, str] = {
+    "p2_links": "SELECT unnest(['pine_merged_entries', 'pine_entry_payloads']) AS src_table, CAST(0 AS BIGINT) AS n_objects, CAST(0 AS BIGINT) AS n_parents",
+    "p2_typed": " UNION ALL ".join(
+        [
+            _children_sql("parameters", _members_sql("e", "name", "type", "description", "optional", "default")), _children_sql("overloads", "CAST(to_json(e) AS VARCHAR)"),
+            _children_sql("type_fields", _members_sql("e", "name", "type", "description")),
+        ]
+    ),
     "p3_found": _P3 + "SELECT rec_id, CAST(pos AS INT) AS pos, orphan_kind FROM o WHERE orphan_kind IS NOT NULL",
     "p3_report": _P3
     + """SELECT 'pine_merged_entries' AS src_table, CASE WHEN m IS NULL THEN NULL ELSE printf('%04d-%02d', CAST(m // 12 AS INT), CAST(m % 12 + 1 AS INT)) END AS month,

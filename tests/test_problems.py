@@ -60,6 +60,56 @@ def test_entries_and_payloads_share_identities(spark):
     assert paths(e) == [(1, "overloads[0]"), (1, "parameters[1]")]
 
 
+def chain(levels):
+    return '{"name":"a","parameters":[' * levels + '"leaf"' + "]}" * levels
+
+
+@pytest.mark.parametrize("levels", [1_000, 5_000])
+def test_children_at_any_depth(spark, levels):
+    rows = nested.payload_children(payloads(spark, chain(levels)), roots=True).cache()
+    assert rows.filter("depth > 0").count() == levels
+    assert rows.agg(F.max("depth"), F.max(F.length("child_path"))).first() == (levels, 14 * levels - 1)
+    assert rows.select("object_id").distinct().count() == levels + 1  # each level holds another tree
+    assert [tuple(r) for r in nested.unresolved(rows, nested.objects(rows)).collect()] == [("pine_entry_payloads", 0, 0)]
+    rows.unpersist()
+
+
+def test_a_hundred_thousand_levels():
+    levels = 100_000
+    deepest = next(nested.walk(nested.loads(chain(levels))))
+    assert deepest[4] == levels and len(deepest[0]) == 14 * levels - 1
+    own = {"name": "a", "default": nested.loads("[" * levels + "]" * levels), "overloads": ["f()"]}
+    child, root = nested.walk(own)
+    assert child[0] == "overloads[0]" and root[7].count("[") == levels
+
+
+def test_deep_parser_agrees_with_the_library():
+    good = ['{"a": [1, -2.5e3, true, null, "x\\u00e9\\n"], "b": {}, "a": []}', " [ ] ", '"x"', "0", '{"k":{"l":[[],{}]}}', "NaN", '[1,"\\ud83d\\ude00"]']
+    for text in good:
+        assert repr(nested._deep(text)) == repr(json.loads(text))
+    for text in ("", "[", "[1,]", "{1:2}", '{"a":1,}', "[1}", "01", "1 2", "[1]]", '"x', "tru", '{"a" 1}'):
+        for parse in (nested._deep, json.loads):
+            with pytest.raises(ValueError):
+                parse(text)
+
+
+def test_odd_signs_in_own_members(spark):
+    bad = '{"name": "x\\u001f\\ud800y\\\\u001f", "overloads": ["a\\u001f", "\\ud800"]}'
+    rows = {r.child_path: r.own_json for r in nested.payload_children(payloads(spark, bad), roots=True).collect()}
+    assert rows == {"overloads[0]": '"a\\u001F"', "overloads[1]": '"\\uD800"', "": '{"name":"x\\u001F\\uD800y\\\\u001f"}'}
+
+
+def test_an_entry_has_one_identity_in_both_tables(spark):
+    row = (1, "n\u001f", "c", ["f(a)"], [("a", "int", None, None, None)], None, [], None)
+    e = nested.entry_children(entries(spark, [row, (2, row[1], "d", *row[3:])]), roots=True)
+    p = nested.payload_children(payloads(spark, {"name": "n\u001f", "category": "c", "see_also": [], "overloads": ["f(a)"], "parameters": [{"type": "int", "name": "a"}], "scraped_at": None}), roots=True)
+    roots = lambda d: [r.object_id for r in d.filter("depth = 0").orderBy("row_key").collect()]
+    assert roots(e)[0] == roots(p)[0] and roots(e)[0] != roots(e)[1]  # equal children, other own members
+    both = e.unionByName(p)
+    assert {tuple(r) for r in nested.unresolved(both, nested.objects(both)).collect()} == {("pine_merged_entries", 0, 0), ("pine_entry_payloads", 0, 0)}
+    assert e.filter("row_key = 1").count() == 3 and nested.entry_children(entries(spark, [row])).count() == 2
+
+
 def test_nested_empty_and_extra_columns(spark):
     none = entries(spark, [(1, None, None, None, None, None, None, None), (2, "x", "y", [], [], [], [], "")])
     assert nested.entry_children(none.withColumn("row_key", F.lit(9)).withColumn("kids", F.lit("x"))).count() == 0
