@@ -167,6 +167,13 @@ CELLS = [
     ("raw_see_also", '["a", "b \\"c\\", d", ""]', ["a", 'b "c", d']),
     ("raw_see_also", " , a, ,", ["a"]),
     ("raw_see_also", "Plots and fills|x+y", ["Plots and fills", "x+y"]),
+    ("raw_see_also", "ta.sma(src, len); ta.ema(f(a, b), len)", ["ta.sma(src, len)", "ta.ema(f(a, b), len)"]),  # a fixed class of delimiters splits these wrongly
+    ("raw_see_also", "f(a, b; c", ["f(a", "b", "c"]),
+    ("raw_see_also", "ta.sma + ta.ema", ["ta.sma", "ta.ema"]),
+    ("raw_see_also", "a / b / c+d", ["a", "b", "c+d"]),
+    ("raw_see_also", "a + b, c", ["a + b", "c"]),
+    ("raw_see_also", '"a" , "b, c', ["a", '"b', "c"]),
+    ("raw_see_also", '["a", b]', ['["a"', "b]"]),
     ("sources", "a+b + c", ["a", "b", "c"]),
     ("sources", '  "a, archived"  ', ["a, archived"]),
     ("sources", '"never closed, b', ['"never closed', "b"]),
@@ -175,16 +182,18 @@ CELLS = [
     ("raw_examples", '"f(""x"", 1)\ng", "h || i"', ['f("x", 1)\ng', "h || i"]),
     ("raw_examples", "a ;;; b;c || d", ["a", "b;c", "d"]),
     ("raw_examples", '["a\\n\\"b\\"", "c"]', ['a\n"b"', "c"]),
+    ("raw_examples", '"x || y" + z || w', ['"x || y" + z', "w"]),
+    ("raw_examples", '[a, b] = f()\n---\nx ---\n--- y\n"', ["[a, b] = f()", 'x ---\n--- y\n"']),
 ]
 
 
-@pytest.mark.parametrize("limit", [packed.BROADCAST_SKELETONS, 0])
+@pytest.mark.parametrize("limit", [packed.BROADCAST_BYTES, 0])
 def test_packed_cells(spark, limit):
     rows = [(i, *[c if f == field else None for f in ("raw_examples", "raw_see_also", "sources")]) for i, (field, c, _) in enumerate(CELLS)]
     rows += [(90, None, "", " \t "), (91, " ||| ", ",;", "[]")]
     df = spark.createDataFrame(rows, "row_no bigint, raw_examples string, raw_see_also string, sources string").withColumn("pos", F.lit("clash")).withColumn("cell", F.lit(1))
     got = {}
-    for r in packed.unpack(df, broadcast_skeletons=limit).collect():
+    for r in packed.unpack(df, broadcast_bytes=limit).collect():
         got.setdefault(r.row_no, {})[r.pos] = r.item_text
     for i, (_, cell, expected) in enumerate(CELLS):
         assert [got.get(i, {})[k] for k in sorted(got.get(i, {}))] == expected, cell
