@@ -1,8 +1,8 @@
-"""References to records that do not exist (problem 3): bitmaps per key range and month.
+"""References to records that do not exist (problem 3): compressed bitmaps per key range and period.
 
-Keys are dictionary-encoded as (key range, integer in the range); the references of a month and the parents
-known by a month are bitmaps of 32 768 bits (4 kB) per range block. References AND NOT parents leaves the
-orphans, and the surviving bits are decoded back to keys.
+Keys are dictionary-encoded as (key range, integer in the range). What refers to a key, and what holds it, is a bit in
+the compressed bitmap of its range block, its kind and its month; bitmaps alone decide which references are orphans:
+references AND NOT parents leaves the orphans, and the surviving bits are decoded back to keys.
 """
 
 from __future__ import annotations
@@ -16,10 +16,54 @@ from glyphmill.functions.symbols import month_text, name_key, reference_key, sym
 from glyphmill.operators.skew import salted_join
 from glyphmill.session import cut, shuffle_width
 
-#: Bits in one bitmap of Spark's bitmap functions.
+#: Bits of one bitmap: the keys of one block of a range.
 BITS = 32_768
-#: Stands for "no month": a reference of a record without a scrape time.
+#: Stands for "no month": a reference or an entry without a scrape time, and tables without periods.
 NO_MONTH = -1
+#: What a bitmap tells of its keys.
+REFERENCE, HELD, BUILTIN, REMOVED = "reference", "entry", "builtin", "removal"
+
+#: First byte of a compressed bitmap: the places of its bits, its runs of bits, or all of its bits.
+_PLACES, _RUNS, _PLAIN = 0, 1, 2
+
+
+def compress(places: np.ndarray) -> bytes:
+    """The smallest of three forms of a bitmap, given by the sorted places of its bits: places, runs, or plain bits."""
+    places = places.astype("<u2")
+    starts = np.flatnonzero(np.diff(places.astype("int32"), prepend=-2) != 1)
+    if 4 * len(starts) < min(2 * len(places), BITS // 8):
+        lengths = np.diff(np.append(starts, len(places)))
+        return bytes([_RUNS]) + np.column_stack([places[starts], (lengths - 1).astype("<u2")]).astype("<u2").tobytes()
+    if 2 * len(places) < BITS // 8:
+        return bytes([_PLACES]) + places.tobytes()
+    bits = np.zeros(BITS, bool)
+    bits[places] = True
+    return bytes([_PLAIN]) + np.packbits(bits, bitorder="little").tobytes()
+
+
+def places_of(bitmap: bytes) -> np.ndarray:
+    """The sorted places of a bitmap's bits."""
+    form, body = bitmap[0], np.frombuffer(bitmap, np.uint8, offset=1)
+    if form == _PLACES:
+        return body.view("<u2")
+    if form == _PLAIN:
+        return np.flatnonzero(np.unpackbits(body, bitorder="little")).astype("<u2")
+    starts, lengths = body.view("<u2").reshape(-1, 2).astype("int64").T
+    return (np.repeat(starts - np.append(0, np.cumsum(lengths + 1)[:-1]), lengths + 1) + np.arange(np.sum(lengths + 1))).astype("<u2")
+
+
+def among(bitmap: bytes | None, places: np.ndarray) -> np.ndarray:
+    """Which of the places are bits of a bitmap, without unpacking it; none for no bitmap."""
+    if bitmap is None or len(bitmap) == 1 or not len(places):
+        return np.zeros(len(places), bool)
+    form, body = bitmap[0], np.frombuffer(bitmap, np.uint8, offset=1)
+    if form == _PLAIN:
+        return (body[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+    pairs = body.view("<u2") if form == _PLACES else body.view("<u2").reshape(-1, 2)
+    starts = pairs if form == _PLACES else pairs[:, 0]
+    at = np.searchsorted(starts, places, side="right") - 1
+    length = 0 if form == _PLACES else pairs[at, 1]
+    return (at >= 0) & (places.astype("int64") - starts[at] <= length)
 
 
 def references(entries: DataFrame) -> DataFrame:
@@ -35,95 +79,79 @@ def references(entries: DataFrame) -> DataFrame:
     )
 
 
-def parent_keys(entries: DataFrame, builtins: DataFrame, removals: DataFrame) -> DataFrame:
-    """(key, in_entries, in_builtins, in_removals, first_month): one row per name that any table holds."""
-    no = F.lit(False)
+def parents(entries: DataFrame, builtins: DataFrame, removals: DataFrame) -> DataFrame:
+    """(key, kind, month): a row for each row of each table that holds a name, entries with the month of their scrape."""
     symbol = symbol_struct(F.col("name"), F.col("category"))["sym_name"]
-    held = entries.select(
-        symbol.alias("key"), F.lit(True).alias("in_entries"), no.alias("in_builtins"), no.alias("in_removals"),
-        utc_month(utc_instant(F.col("scraped_at"))).alias("first_month"),
-    )
-    no_month = F.lit(None).cast("int").alias("first_month")
-    native = builtins.select(name_key(F.col("name")).alias("key"), no.alias("in_entries"), F.lit(True).alias("in_builtins"), no.alias("in_removals"), no_month)
-    gone = removals.select(symbol.alias("key"), no.alias("in_entries"), no.alias("in_builtins"), F.lit(True).alias("in_removals"), no_month)
-    return (
-        held.unionByName(native).unionByName(gone).filter(F.col("key").isNotNull()).groupBy("key")
-        .agg(F.max("in_entries").alias("in_entries"), F.max("in_builtins").alias("in_builtins"), F.max("in_removals").alias("in_removals"), F.min("first_month").alias("first_month"))
-    )
+    none = F.lit(NO_MONTH).alias("month")
+    held = entries.select(symbol.alias("key"), F.lit(HELD).alias("kind"), F.coalesce(utc_month(utc_instant(F.col("scraped_at"))), F.lit(NO_MONTH)).alias("month"))
+    native = builtins.select(name_key(F.col("name")).alias("key"), F.lit(BUILTIN).alias("kind"), none)
+    gone = removals.select(symbol.alias("key"), F.lit(REMOVED).alias("kind"), none)
+    return held.unionByName(native).unionByName(gone).filter(F.col("key").isNotNull())
+
+
+def encode(refs: DataFrame, holders: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(key, kind, month, n, key_range, code): every key with what is known of it, and its integer in its range.
+
+    One row per key, kind and month, whatever the number of rows behind it; equal keys of a range share a code.
+    """
+    ranges = ranges or 4 * shuffle_width(refs.sparkSession)
+    seen = refs.select("key", F.lit(REFERENCE).alias("kind"), F.col("ref_month").alias("month")).unionByName(holders.select("key", "kind", "month"))
+    known = seen.groupBy("key", "kind", "month").agg(F.count("*").alias("n")).withColumn("key_range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
+    return known.withColumn("code", F.dense_rank().over(Window.partitionBy("key_range").orderBy("key")) - 1)
 
 
-def _and_not(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
-    """Orphan bits of one range block: its bitmaps, at most one per kind and month."""
-    bits = {(k, m): np.frombuffer(b, np.uint8) for k, m, b in zip(blocks["kind"], blocks["month"], blocks["bitmap"])}
-    empty = np.zeros(BITS // 8, np.uint8)
-    known, removed = bits.get(("known", NO_MONTH), empty), bits.get(("removed", NO_MONTH), empty)
-    arrivals = sorted((m, b) for (k, m), b in bits.items() if k == "arrives")
+def bitmaps(coded: DataFrame) -> DataFrame:
+    """(key_range, block, kind, month, bitmap): the compressed bitmap of each range block, kind and month."""
+
+    @F.pandas_udf("binary")
+    def packed(places: pd.Series) -> pd.Series:
+        return places.map(compress)
+
+    placed = coded.select("key_range", F.floor(F.col("code") / BITS).cast("int").alias("block"), "kind", "month", (F.col("code") % BITS).cast("int").alias("place"))
+    lists = placed.groupBy("key_range", "block", "kind", "month").agg(F.array_sort(F.collect_list("place")).alias("places"))  # at most BITS of them
+    return lists.select("key_range", "block", "kind", "month", packed("places").alias("bitmap"))
+
+
+def _and_not(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+    """Orphan bits of one range block: its bitmaps, one per kind and month."""
+    bits = {(k, m): b for k, m, b in zip(block["kind"], block["month"], block["bitmap"])}
+    held = sorted((m for k, m in bits if k == HELD), reverse=True)
     out = []
-    for month, refs in sorted((m, b) for (k, m), b in bits.items() if k == "reference"):
-        later = empty
-        if month != NO_MONTH:
-            for arrival, b in arrivals:
-                if arrival > month:
-                    later = later | b
-        absent = refs & ~known
-        for kind, left in (("deleted", absent & removed), ("missing", absent & ~removed), ("late", refs & later)):
-            found = np.flatnonzero(np.unpackbits(left, bitorder="little"))
-            if len(found):
-                out.append((month, kind, found))
+    after, at = np.zeros(BITS, bool), 0  # keys that entries hold from a later month on
+    for month in sorted((m for k, m in bits if k == REFERENCE), reverse=True):
+        while at < len(held) and held[at] > max(month, NO_MONTH):
+            after[places_of(bits[HELD, held[at]])] = True
+            at += 1
+        refs = places_of(bits[REFERENCE, month])
+        builtin = among(bits.get((BUILTIN, NO_MONTH)), refs)
+        before = np.zeros(len(refs), bool)
+        for m in held[at:]:
+            if m != NO_MONTH:
+                before |= among(bits[HELD, m], refs)
+        entry = before | after[refs] | among(bits.get((HELD, NO_MONTH)), refs)
+        removed = among(bits.get((REMOVED, NO_MONTH)), refs)
+        late = after[refs] & ~before & ~builtin if month != NO_MONTH else np.zeros(len(refs), bool)
+        absent = ~entry & ~builtin
+        for kind, left in (("deleted", absent & removed), ("missing", absent & ~removed), ("late", late)):
+            if left.any():
+                out.append((month, kind, refs[left].astype("int64")))
     sizes = [len(found) for _, _, found in out]
     return pd.DataFrame(
         {
             "key_range": np.full(sum(sizes), key[0], "int32"),
-            "block": np.full(sum(sizes), key[1], "int64"),
-            "ref_month": np.repeat(np.array([m for m, _, _ in out], "int32"), sizes),
-            "bit": np.concatenate([f for _, _, f in out]) if out else np.empty(0, "int64"),
+            "code": np.concatenate([f for _, _, f in out]) + int(key[1]) * BITS if out else np.empty(0, "int64"),
+            "month": np.repeat(np.array([m for m, _, _ in out], "int32"), sizes),
             "orphan_kind": np.repeat(np.array([k for _, k, _ in out], object), sizes),
         }
     )
 
 
-def orphan_keys(refs: DataFrame, parents: DataFrame, ranges: int | None = None) -> DataFrame:
+def orphan_keys(refs: DataFrame, holders: DataFrame, ranges: int | None = None) -> DataFrame:
     """(key, ref_month, orphan_kind, n): the orphan keys of each month with their number of references."""
-    spark = refs.sparkSession
-    ranges = ranges or 4 * shuffle_width(spark)
-    used = refs.groupBy("key", "ref_month").agg(F.count("*").alias("n"))
-    no = F.lit(False)
-    everything = (
-        used.select("key", F.struct("ref_month", "n").alias("use"), no.alias("in_entries"), no.alias("in_builtins"), no.alias("in_removals"), F.lit(None).cast("int").alias("first_month"))
-        .unionByName(parents.withColumn("use", F.lit(None).cast("struct<ref_month:int,n:bigint>")))
-        .groupBy("key")
-        .agg(
-            F.collect_list("use").alias("uses"),  # one per month that refers to the key, whatever the number of rows
-            F.max("in_entries").alias("in_entries"), F.max("in_builtins").alias("in_builtins"), F.max("in_removals").alias("in_removals"), F.min("first_month").alias("first_month"),
-        )
-        .filter(F.size("uses") > 0)  # a parent that nothing refers to can be no orphan's key
-        .withColumn("key_range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
-        .withColumn("code", F.row_number().over(Window.partitionBy("key_range").orderBy("key")).cast("bigint"))
-    )
-    coded = cut(everything)
-    known = F.col("in_entries") | F.col("in_builtins")
-    arrives = F.col("in_entries") & ~F.col("in_builtins") & F.col("first_month").isNotNull()
-    marks = F.concat(
-        F.transform("uses", lambda u: F.struct(F.lit("reference").alias("kind"), u["ref_month"].alias("month"))),
-        F.filter(
-            F.array(
-                F.when(known, F.struct(F.lit("known").alias("kind"), F.lit(NO_MONTH).alias("month"))),
-                F.when(F.col("in_removals"), F.struct(F.lit("removed").alias("kind"), F.lit(NO_MONTH).alias("month"))),
-                F.when(arrives, F.struct(F.lit("arrives").alias("kind"), F.col("first_month").alias("month"))),
-            ),
-            lambda m: m.isNotNull(),
-        ),
-    )
-    bitmaps = (
-        coded.select("key_range", F.expr("bitmap_bucket_number(code)").alias("block"), F.expr("bitmap_bit_position(code)").alias("position"), F.explode(marks).alias("mark"))
-        .groupBy("key_range", "block", F.col("mark.kind").alias("kind"), F.col("mark.month").alias("month"))
-        .agg(F.bitmap_construct_agg("position").alias("bitmap"))
-    )
-    survivors = bitmaps.groupBy("key_range", "block").applyInPandas(_and_not, "key_range int, block bigint, ref_month int, bit bigint, orphan_kind string")
-    # block b holds the codes (b-1)*BITS+1 .. b*BITS
-    decoded = survivors.select("key_range", ((F.col("block") - 1) * BITS + F.col("bit") + 1).alias("code"), "ref_month", "orphan_kind")
-    uses = coded.select("key_range", "code", "key", F.explode("uses").alias("use")).select("key_range", "code", "key", "use.ref_month", "use.n")
-    return decoded.join(uses, ["key_range", "code", "ref_month"]).select("key", "ref_month", "orphan_kind", "n")
+    coded = cut(encode(refs, holders, ranges))
+    survivors = bitmaps(coded).groupBy("key_range", "block").applyInPandas(_and_not, "key_range int, code bigint, month int, orphan_kind string")
+    named = coded.filter(F.col("kind") == REFERENCE).select("key_range", "code", "month", "key", "n")
+    return survivors.join(named, ["key_range", "code", "month"]).select("key", F.col("month").alias("ref_month"), "orphan_kind", "n")
 
 
 def orphan_references(entries: DataFrame, builtins: DataFrame, removals: DataFrame) -> DataFrame:
@@ -132,16 +160,17 @@ def orphan_references(entries: DataFrame, builtins: DataFrame, removals: DataFra
     deleted: no entry or built-in has the name, a removal does; missing: none of the three does; late: entries have
     it, built-ins do not, and its earliest scrape lies in a later month (UTC) than the referring record's. A record
     without a scrape time shows no late reference, and a name never scraped with a time is never late. Empty tables
-    give an empty result; rows landed twice give their references twice, as different records.
+    give an empty result; rows landed twice give their references twice, as different records. Calling it writes the
+    references and the dictionary once each to the checkpoint folder.
     """
-    refs = references(entries)
-    orphans = orphan_keys(refs, parent_keys(entries, builtins, removals))
+    refs = cut(references(entries))
+    orphans = orphan_keys(refs, parents(entries, builtins, removals))
     return salted_join(refs, orphans, ["key", "ref_month"], "n", "rec_id").select("rec_id", "pos", "orphan_kind")
 
 
 def orphan_report(entries: DataFrame, builtins: DataFrame, removals: DataFrame, table: str) -> DataFrame:
     """(src_table, month, orphan_kind, n_references, n_keys): orphans per table and month; month null without a time."""
-    orphans = orphan_keys(references(entries), parent_keys(entries, builtins, removals))
+    orphans = orphan_keys(references(entries), parents(entries, builtins, removals))
     return (
         orphans.groupBy("ref_month", "orphan_kind")
         .agg(F.sum("n").alias("n_references"), F.count("*").alias("n_keys"))

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,12 +155,25 @@ def test_many_keys_per_range(spark):
     """More keys than a bitmap has bits: blocks of one range are told apart."""
     n = orphans.BITS + 500
     refs = spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(5).alias("ref_month"), F.lit(1).alias("rec_id"), F.lit(0).alias("pos"))
-    parents = spark.range(0, n, 2).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(True).alias("in_entries"), F.lit(False).alias("in_builtins"), F.lit(False).alias("in_removals"), F.lit(5).alias("first_month"))
+    parents = spark.range(0, n, 2).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(orphans.HELD).alias("kind"), F.lit(5).alias("month"))
     got = orphans.orphan_keys(refs, parents, ranges=1)
     assert got.count() == n // 2
     assert got.filter("orphan_kind != 'missing' or cast(substring(key, 2) as int) % 2 = 0").count() == 0
 
 
+def test_compressed_bitmaps():
+    rng = np.random.default_rng(7)
+    shapes = [np.arange(0), np.arange(orphans.BITS), np.array([0, orphans.BITS - 1]), np.arange(0, orphans.BITS, 2), np.arange(500, 9000), np.sort(rng.choice(orphans.BITS, 9000, replace=False)), np.sort(rng.choice(orphans.BITS, 40, replace=False))]
+    everywhere = np.arange(orphans.BITS).astype("<u2")
+    for places in shapes:
+        bitmap = orphans.compress(places)
+        assert len(bitmap) <= 1 + min(orphans.BITS // 8, 2 * len(places))
+        assert list(orphans.places_of(bitmap)) == list(places)
+        assert list(np.flatnonzero(orphans.among(bitmap, everywhere))) == list(places)
+    assert {orphans.compress(places)[0] for places in shapes} == {0, 1, 2}
+    assert not orphans.among(None, everywhere).any()
+
+
 CELLS = [
     ("raw_see_also", "a.b, c;d | e\tf\ng · h", ["a.b", "c", "d", "e", "f", "g", "h"]),
     ("raw_see_also", '"Time, sessions", \'x;y\' ; “p|q”', ["Time, sessions", "x;y", "p|q"]),
