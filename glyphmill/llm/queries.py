@@ -88,8 +88,16 @@ SELECT first_rec_id, slot, rec_id AS from_rec_id FROM w JOIN g USING (k) QUALIFY
 UNION ALL SELECT first_rec_id, 'sources/' || code AS slot, min(rec_id) FROM c JOIN g USING (k) WHERE code IS NOT NULL GROUP BY first_rec_id, code
 """
 
+_RECORDS = f"""
+WITH s AS ({_SURVIVORS}),
+t AS (SELECT rec_id AS from_rec_id, {_TRIMMED.format('syntax')} AS syntax, {_TRIMMED.format('description')} AS description FROM pine_merged_entries)
+SELECT first_rec_id, max(syntax) FILTER (slot = 'syntax') AS syntax, max(description) FILTER (slot = 'description') AS description,
+  coalesce(list(substring(slot, 9) ORDER BY slot) FILTER (starts_with(slot, 'sources/')), []) AS sources FROM s JOIN t USING (from_rec_id) GROUP BY 1
+"""
+
 ORACLE: dict[str, str] = {
     "p5_found": _SURVIVORS,
+    "p5_records": _RECORDS,
     "p1_found": f"""SELECT first_rec_id, rec_id FROM (SELECT rec_id, min(rec_id) OVER (PARTITION BY sym_name, sym_category) AS first_rec_id FROM ({_SYMBOLS})) WHERE rec_id > first_rec_id""",
     "p1_symbols": f"SELECT sym_name, sym_category, min(rec_id) AS first_rec_id, count(*) AS n_rows FROM ({_SYMBOLS}) GROUP BY 1, 2",
     "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",

@@ -1,8 +1,9 @@
 """Best representative of each duplicate group (problem 5): field-by-field survivorship.
 
-Every record offers its values slot by slot. One aggregation keeps, for each distinct value of a slot, the maximum of
-the composite (source priority, time, record), and after cut-off values are gone a second one over that short table
-takes the maximum per slot.
+Every record offers its values slot by slot, and one aggregation takes for each slot of a symbol the maximum of the
+composite (whole value, source priority, time, record, value). Which values are whole is found just before: a value
+that another one begins with is followed by it in sorted order. Symbols with a single record are left behind before
+their texts are looked at; the symbols with very many records are sorted in ranges, so that one of them is many tasks.
 """
 
 from __future__ import annotations
@@ -11,20 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.symbols import source_code, symbol_struct, utc_instant
-from glyphmill.session import cut
+from glyphmill.session import cut, shuffle_width
 
-#: Texts that stand in for a value, in lower case without outer spaces.
+#: Texts that stand in for a value, in lower case without outer white space: a parameter of every function here.
 STAND_INS = ("-", "(none)", "n/a", "tbd", "todo", "see manual", "no description.", "description follows")
 #: Ends and arguments that show an elided value.
 ELIDED = r"(?:…|\.\.\.|\[cut\])$|\((?:…|\.\.\.)\)"
+_ELISION = r"[\s\p{Z}]*(?:…|\.\.\.|\[cut\])$"
 #: Source priorities are looked up in a literal map up to this many codes, by a join beyond it.
 MAP_CODES = 1_000
-#: Values are compared for cut-offs within groups of equal first characters, so that a hot symbol splits.
-HEAD = 24
-#: The slot that counts a symbol's records.
-_COUNT = "#"
+#: Symbols with at least this many records are sorted in ranges; the heaviest of them, at most this many.
+HOT_ROWS, HOT_SYMBOLS = 50_000, 256
 
 _TRIM = r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$"
+_KEYS = ["sym_name", "sym_category"]
+_TEXTS = ("syntax", "description")
 
 
 def _ranked(records: DataFrame, trust: DataFrame) -> DataFrame:
@@ -42,87 +44,111 @@ def _ranked(records: DataFrame, trust: DataFrame) -> DataFrame:
     return records.join(best, "rec_id", "left")
 
 
-def _offers(records: DataFrame, trust: DataFrame) -> DataFrame:
-    """(sym_name, sym_category, slot, text, elided, first_id, n, best): the distinct offers of each symbol.
-
-    Blank and stand-in values make no offer. best is the greatest (-rank, time, -record) with nulls least.
-    """
+def _keyed(records: DataFrame) -> DataFrame:
+    """Records with a name, with their symbol and what the slots need."""
     symbol = symbol_struct(F.col("name"), F.col("category"))
-    base = records.select("rec_id", "syntax", "description", "sources", utc_instant(F.col("scraped_at")).alias("at"), symbol.alias("s")).filter("s.sym_name is not null")
-    base = _ranked(base, trust)
-    order = F.struct((-F.col("best_rank")).alias("trust"), F.unix_micros("at").alias("at"), (-F.col("rec_id")).alias("neg_id"))
+    rows = records.select("rec_id", *_TEXTS, "sources", "scraped_at", symbol.alias("s")).filter("s.sym_name is not null")
+    return rows.select(F.col("s.sym_name").alias("sym_name"), F.coalesce("s.sym_category", F.lit("")).alias("sym_category"), "rec_id", *_TEXTS, "sources", "scraped_at")
+
+
+def symbols(records: DataFrame) -> DataFrame:
+    """(sym_name, sym_category, first_rec_id, n): the symbols with two or more records."""
+    return _keyed(records).groupBy(*_KEYS).agg(F.min("rec_id").alias("first_rec_id"), F.count("*").alias("n")).filter("n > 1")
+
 
-    def offer(slot: Column, text: Column) -> Column:
-        return F.struct(slot.alias("slot"), text.alias("text"))
+def _offers(rows: DataFrame, trust: DataFrame, stand_ins: tuple[str, ...]) -> DataFrame:
+    """(keys, first_rec_id, slot, stem, whole, ord): what each record offers, slot by slot.
+
+    Blank and stand-in values make no offer; an elided one is not whole, and its stem lacks the mark. ord is greatest
+    for the best offer: least trust rank, latest time, least record, with nulls last; for a source the least record.
+    """
+    rows = _ranked(rows, trust)
+    least = (-F.col("rec_id")).alias("neg_id")
+    order = F.struct((-F.col("best_rank")).alias("trust"), F.unix_micros(utc_instant(F.col("scraped_at"))).alias("at"), least)
+    first_given = F.struct(F.lit(None).cast("int").alias("trust"), F.lit(None).cast("bigint").alias("at"), least)
 
     def value(field: str) -> Column:
         text = F.regexp_replace(F.col(field), _TRIM, "")
-        return F.when((text != "") & ~F.lower(text).isin(*STAND_INS), offer(F.lit(field), text))
+        elided = text.rlike(ELIDED)
+        stem = F.when(elided, F.regexp_replace(text, _ELISION, "")).otherwise(text)
+        return F.when((text != "") & ~F.lower(text).isin(*stand_ins), F.struct(F.lit(field).alias("slot"), stem.alias("stem"), (~elided).alias("whole"), order.alias("ord")))
+
+    given = F.transform("codes", lambda c: F.struct(F.concat(F.lit("sources/"), c).alias("slot"), F.lit("").alias("stem"), F.lit(True).alias("whole"), first_given.alias("ord")))
+    slots = F.filter(F.concat(F.array(*[value(f) for f in _TEXTS]), given), lambda o: o.isNotNull())
+    return rows.select(*_KEYS, "first_rec_id", F.explode(slots).alias("o")).select(*_KEYS, "first_rec_id", "o.*")
+
+
+def _distinct(offers: DataFrame) -> DataFrame:
+    """The distinct offers of each slot, with the best record of each."""
+    return offers.groupBy(*_KEYS, "slot", "stem", "whole").agg(F.max("ord").alias("ord"), F.min("first_rec_id").alias("first_rec_id"))
 
-    slots = F.concat(
-        F.array(offer(F.lit(_COUNT), F.lit("")), value("syntax"), value("description")),
-        F.transform("codes", lambda c: offer(F.concat(F.lit("sources/"), c), F.lit(""))),
-    )
-    rows = base.select(
-        F.col("s.sym_name").alias("sym_name"), F.coalesce("s.sym_category", F.lit("")).alias("sym_category"), "rec_id", order.alias("ord"), F.explode(F.filter(slots, lambda x: x.isNotNull())).alias("o")
-    )
-    return rows.groupBy("sym_name", "sym_category", F.col("o.slot").alias("slot"), F.col("o.text").alias("text")).agg(
-        F.min("rec_id").alias("first_id"), F.count("*").alias("n"), F.max("ord").alias("best")
-    )
+
+def _told(values: DataFrame, following: Column) -> DataFrame:
+    """``whole`` is false too for a value that the stem after it begins with. Equal stems sort elided first, so the whole one sees what follows."""
+    begun = F.coalesce(following.startswith(F.col("stem")) & (following != F.col("stem")), F.lit(False))
+    return values.withColumn("whole", F.col("whole") & ~begun)
 
 
 def whole_values(values: DataFrame) -> DataFrame:
-    """(keys, slot, best) of the rows of ``values`` whose text is neither elided nor a cut-off of another text of its slot.
+    """Distinct offers with ``whole`` told, each symbol in one task: fit for symbols of bounded size.
+
+    In sorted order the texts that begin with a text follow it, so only the next one needs a look.
+    """
+    return _told(values, F.lead("stem").over(Window.partitionBy(*_KEYS, "slot").orderBy("stem", "whole")))
+
+
+def whole_values_ranged(values: DataFrame) -> DataFrame:
+    """``whole_values`` for symbols of any size: the offers are sorted in ranges, whatever symbol they belong to.
 
-    In sorted order the texts that begin with a text follow it, so only the next one needs a look. Long texts are
-    sorted per first characters; a text shorter than those is compared with the distinct beginnings of the others.
-    An elided text counts as another text, without its mark.
+    The last offer of a range looks at the first one of the next range that holds any, a row per range.
     """
-    keys = ["sym_name", "sym_category", "slot"]
-    marked = values.withColumn("elided", F.col("text").rlike(ELIDED)).withColumn(
-        "stem", F.when(F.col("elided"), F.regexp_replace("text", r"[\s\p{Z}]*(?:…|\.\.\.|\[cut\])$", "")).otherwise(F.col("text"))
-    ).withColumn("head", F.substring("stem", 1, HEAD))
-    after = Window.partitionBy(*keys, "head").orderBy("stem", F.desc("elided"), "text")
-    distinct_after = F.lead("stem").over(after)
-    # equal stems (a whole text and an elided one of the same length) sort elided first, so the whole one sees what follows
-    sorted_in = marked.withColumn("next", distinct_after).filter(~F.col("elided"))
-    # from here on only short texts are needed: long ones stay behind before the next shuffle
-    long_kept = sorted_in.filter(~F.coalesce(F.col("next").startswith(F.col("stem")) & (F.col("next") != F.col("stem")), F.lit(False))).select(
-        *keys, "best", F.when(F.length("stem") < HEAD, F.col("stem")).alias("stem")
-    )
-    heads = marked.groupBy(*keys, "head").agg(F.count("*").alias("_n"))
-    cut_heads = (
-        heads.withColumn("_next", F.lead("head").over(Window.partitionBy(*keys).orderBy("head")))
-        .filter((F.length("head") < HEAD) & F.col("_next").startswith(F.col("head")))
-        .select(*keys, F.col("head").alias("stem"))
-    )
-    return long_kept.join(cut_heads, [*keys, "stem"], "left_anti").drop("stem")
-
-
-def survivors(records: DataFrame, trust: DataFrame) -> DataFrame:
+    order = [*_KEYS, "slot", "stem", "whole"]
+    ranges = cut(values.repartitionByRange(shuffle_width(values.sparkSession), *order)).withColumn("_range", F.spark_partition_id())
+    firsts = ranges.groupBy("_range").agg(F.min(F.struct(*order)).alias("_first"))
+    later = firsts.withColumn("_later", F.lead("_first").over(Window.orderBy("_range"))).select("_range", "_later")
+    following = F.coalesce(F.lead(F.struct(*order)).over(Window.partitionBy("_range").orderBy(*order)), F.col("_later"))
+    joined = ranges.join(F.broadcast(later), "_range").withColumn("_next", following)
+    same = F.col("_next.sym_name").eqNullSafe(F.col("sym_name")) & F.col("_next.sym_category").eqNullSafe(F.col("sym_category")) & F.col("_next.slot").eqNullSafe(F.col("slot"))
+    return _told(joined, F.when(same, F.col("_next.stem"))).drop("_range", "_later", "_next")
+
+
+def best_offers(records: DataFrame, trust: DataFrame, stand_ins: tuple[str, ...] = STAND_INS, hot_rows: int = HOT_ROWS, hot_symbols: int = HOT_SYMBOLS) -> DataFrame:
+    """(sym_name, sym_category, slot, first_rec_id, best): the maximum of (whole, ord, value) of each slot.
+
+    The texts are moved once, to their symbol, without those of symbols with one record; all that follows happens in
+    place. Only the ``hot_symbols`` heaviest symbols of ``hot_rows`` records and more, told by a broadcast of that bound,
+    take the way by ranges, after their equal offers are combined before the shuffle.
+    """
+    several = cut(symbols(records))
+    hot = F.broadcast(several.filter(F.col("n") >= hot_rows).orderBy(F.desc("n"), *_KEYS).limit(hot_symbols).select(*_KEYS, F.lit(True).alias("_hot"), "first_rec_id"))
+    rows = _keyed(records)
+    usual = several.join(hot.drop("first_rec_id"), _KEYS, "left").filter("_hot is null").select(*_KEYS, "first_rec_id")
+    local = rows.join(usual.hint("merge"), _KEYS)
+    spread = rows.join(hot.drop("_hot"), _KEYS)
+    told = whole_values(_distinct(_offers(local, trust, stand_ins)))
+    if several.filter(F.col("n") >= hot_rows).limit(1).count():
+        told = told.unionByName(whole_values_ranged(_distinct(_offers(spread, trust, stand_ins))))
+    return told.groupBy(*_KEYS, "slot").agg(F.min("first_rec_id").alias("first_rec_id"), F.max(F.struct("whole", "ord", "stem")).alias("best")).filter("best.whole")
+
+
+def survivors(records: DataFrame, trust: DataFrame, stand_ins: tuple[str, ...] = STAND_INS) -> DataFrame:
     """(first_rec_id, slot, from_rec_id): which record gives each slot of each symbol with two or more records.
 
     syntax and description come from the whole values (not blank, a stand-in, elided, or a cut-off of another value of
     the symbol) by best trust rank (none or unknown last), latest scrape (absent last), smallest record; a slot
     without a whole value gives no row. ``sources/CODE`` names the smallest record that gives the code, unknown
-    codes too. Records without a name belong to no symbol. An empty table gives an empty result.
+    codes too. Records without a name belong to no symbol. An empty table gives an empty result. Calling it runs
+    jobs: the trust table is read, and the symbols with several records are written to the checkpoint folder.
+    """
+    return best_offers(records, trust, stand_ins).select("first_rec_id", "slot", (-F.col("best.ord.neg_id")).alias("from_rec_id"))
+
+
+def merged_records(records: DataFrame, trust: DataFrame, stand_ins: tuple[str, ...] = STAND_INS) -> DataFrame:
+    """(first_rec_id, syntax, description, sources): the surviving record of each symbol with two or more records.
+
+    Texts are without outer white space, null where no record has a whole value; sources are all codes in order.
     """
-    offers = cut(_offers(records.select("rec_id", "name", "category", "syntax", "description", "sources", "scraped_at"), trust))
-    keys = ["sym_name", "sym_category"]
-    groups = offers.filter(F.col("slot") == _COUNT).filter("n > 1").select(*keys, F.col("first_id").alias("first_rec_id"))
-    texts = whole_values(offers.filter(F.col("slot").isin("syntax", "description")))
-    chosen = texts.groupBy(*keys, "slot").agg(F.max("best").alias("best")).select(*keys, "slot", (-F.col("best.neg_id")).alias("from_rec_id"))
-    given = offers.filter(F.col("slot").startswith("sources/")).select(*keys, "slot", F.col("first_id").alias("from_rec_id"))
-    return chosen.unionByName(given).join(groups, keys).select("first_rec_id", "slot", "from_rec_id")
-
-
-def merged_records(records: DataFrame, trust: DataFrame) -> DataFrame:
-    """(first_rec_id, syntax, description, sources): the surviving record of each symbol with two or more records."""
-    slots = cut(survivors(records, trust))
-    own = records.select(F.col("rec_id").alias("from_rec_id"), "syntax", "description")
-    trimmed = lambda c: F.regexp_replace(c, _TRIM, "")
-    values = slots.filter(~F.col("slot").startswith("sources/")).join(own, "from_rec_id").select(
-        "first_rec_id", F.when(F.col("slot") == "syntax", trimmed("syntax")).alias("syntax"), F.when(F.col("slot") == "description", trimmed("description")).alias("description"), F.lit(None).cast("string").alias("code")
-    )
-    codes = slots.filter(F.col("slot").startswith("sources/")).select("first_rec_id", F.lit(None).cast("string").alias("syntax"), F.lit(None).cast("string").alias("description"), F.substring("slot", 9, 1_000).alias("code"))
-    return values.unionByName(codes).groupBy("first_rec_id").agg(F.max("syntax").alias("syntax"), F.max("description").alias("description"), F.array_sort(F.collect_set("code")).alias("sources"))
+    best = best_offers(records, trust, stand_ins)
+    text = lambda field: F.max(F.when(F.col("slot") == field, F.col("best.stem"))).alias(field)
+    code = F.when(F.col("slot").startswith("sources/"), F.substr("slot", F.lit(len("sources/") + 1)))
+    return best.groupBy(*_KEYS).agg(F.min("first_rec_id").alias("first_rec_id"), text("syntax"), text("description"), F.array_sort(F.collect_set(code)).alias("sources")).drop(*_KEYS)

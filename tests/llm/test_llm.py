@@ -90,11 +90,31 @@ def test_trust_join_beyond_the_map(spark, monkeypatch):
 def test_whole_values_against_brute_force(spark):
     rng = random.Random(4)
     texts = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) + rng.choice(["", "", "…", " [cut]"]) for _ in range(400)} | {"x" * n for n in range(1, 60)})
-    df = spark.createDataFrame([("s", "c", "syntax", t, i) for i, t in enumerate(texts)], "sym_name string, sym_category string, slot string, text string, best int")
-    got = {texts[r.best] for r in survivors.whole_values(df).collect()}
     marked = lambda t: t.endswith(("…", "[cut]"))
-    stems = {t.removesuffix("…").removesuffix(" [cut]") for t in texts}
-    assert got == {t for t in texts if not marked(t) and not any(s != t and s.startswith(t) for s in stems)}
+    stem = lambda t: t.removesuffix("…").removesuffix(" [cut]")
+    expected = {t for t in texts if not marked(t) and not any(stem(s) != t and stem(s).startswith(t) for s in texts)}
+    rows = [(name, "c", slot, stem(t), not marked(t), i) for i, t in enumerate(texts) for name, slot in (("s", "syntax"), ("s", "description"), ("t", "syntax"))]
+    df = spark.createDataFrame(rows, "sym_name string, sym_category string, slot string, stem string, whole boolean, ord int")
+    for told in (survivors.whole_values(df), survivors.whole_values_ranged(df)):
+        kept = told.filter("whole").collect()
+        assert len(kept) == 3 * len(expected)
+        assert {texts[r.ord] for r in kept} == expected
+
+
+def test_survivors_of_hot_symbols(spark):
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gamma", "TODO", "", "alpha beta", "alpha beta gam", "beta…"]
+    rows = [(i, f"n{rng.randint(0, 4)}", "type", " ".join(rng.choice(words) for _ in range(3)), rng.choice(words), [rng.choice(["live", "wiki", "Odd"])], f"2024-01-{rng.randint(1, 28):02d}T00:00:00Z") for i in range(400)]
+    df = records(spark, [*rows, (900, "once", "type", "x", "y", ["live"], None)])
+    usual = found(survivors.survivors(df, trust(spark)))
+    assert usual == found(survivors.best_offers(df, trust(spark), hot_rows=2, hot_symbols=3).select("first_rec_id", "slot", (-F.col("best.ord.neg_id")).alias("from_rec_id")))
+    assert len(usual) >= 5 * 4 and 900 not in {r[0] for r in usual}
+    assert found(survivors.survivors(df, trust(spark), ())) != usual  # what stands in for a value is a parameter
+
+
+def test_long_source_codes_stay_whole(spark):
+    df = records(spark, [(1, "a", "type", "s", "d", ["x" * 3_000], None), (2, "a", "type", "s", "d", None, None)])
+    assert [len(c) for c in survivors.merged_records(df, trust(spark)).first().sources] == [3_000]
 
 
 # 6 -------------------------------------------------------------------------------------------------------------
