@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.tokens import TOKENIZERS
@@ -35,17 +35,22 @@ SPELLINGS = {
     "pt": ("por", "portuguese"),
     "ru": ("rus", "russian"),
 }
-#: The model is fitted on this many labelled documents of SAMPLE_CHARS characters, in the order of a hash of their ids.
-SAMPLE_ROWS = 3_000
+#: The model is fitted on this many labelled documents of each language, of SAMPLE_CHARS characters, in the order of a
+#: hash of their ids, and in them on words of up to SAMPLE_LETTERS letters.
+SAMPLE_ROWS = 750
+SAMPLE_LETTERS = 64
 SAMPLE_CHARS = (20, 5_000)
 #: Rounds of expectation maximisation, and of relabelling the sample's sentences by the model fitted so far.
 EM_ROUNDS = 2
 RELABEL_ROUNDS = 2
+#: What the label of a sample's document counts for in the language of its sentences, as a natural logarithm.
+LABEL_TRUST = 6.0
 #: What a change of language between two sentences costs, as a natural logarithm; it keeps sentences that say little
 #: in the language around them.
 SWITCH = 4.0
 
-_MAX_PIECE = 16
+#: Words up to this length are kept with their lattices; longer ones are rare and worked out anew.
+_KEPT_LETTERS = 64
 _UNKNOWN = 1e-7
 
 _HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
@@ -106,11 +111,11 @@ def clump_words(clump: str) -> list[str]:
     """The words of what stands between white space and signs, in lower case: none for names, numbers and long strings."""
     bare = clump.strip(".")
     if bare.isascii():
-        plain = bare.isalpha() and len(bare) <= 24 and (bare.islower() or bare.isupper() or bare[1:].islower())
+        plain = bare.isalpha() and (bare.islower() or bare.isupper() or bare[1:].islower())
         return [bare.lower()] if plain else []
     if bare.isalpha() and not _CJK.search(bare):
-        return [bare.lower()] if len(bare) <= 24 else []
-    return [w.lower() for w in _WORD.findall(_NAME.sub(" ", bare)) if len(w) <= 24]
+        return [bare.lower()]
+    return [w.lower() for w in _WORD.findall(_NAME.sub(" ", bare))]
 
 
 def words(sentence: str) -> list[str]:
@@ -127,20 +132,33 @@ def vocabulary(tokenizers: str = TOKENIZERS, name: str = "piece_bpe_32k") -> dic
     return {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
 
 
-@functools.lru_cache(maxsize=300_000)
-def _lattice(word: str, tokenizers: str) -> tuple[int, list[tuple[int, int, int]]]:
-    """Length and edges (start, end, piece) of a word; -1 stands for a character outside the vocabulary."""
-    pieces = vocabulary(tokenizers)
-    text = word if _CJK.match(word) else "▁" + word
-    edges = []
+@functools.lru_cache(maxsize=2)
+def longest_piece(tokenizers: str = TOKENIZERS) -> int:
+    """Characters of the longest piece of the vocabulary."""
+    return max(map(len, vocabulary(tokenizers)))
+
+
+def _edges(text: str, tokenizers: str) -> Iterator[tuple[int, int, int]]:
+    """Edges (start, end, piece) in the order of their starts; -1 stands for a character outside the vocabulary."""
+    pieces, longest = vocabulary(tokenizers), longest_piece(tokenizers)
     for i in range(len(text)):
-        for j in range(i + 1, min(len(text), i + _MAX_PIECE) + 1):
+        for j in range(i + 1, min(len(text), i + longest) + 1):
             k = pieces.get(text[i:j])
             if k is not None:
-                edges.append((i, j, k))
+                yield i, j, k
             elif j == i + 1:
-                edges.append((i, j, -1))
-    return len(text), edges
+                yield i, j, -1
+
+
+def _spelled(word: str) -> str:
+    return word if _CJK.match(word) else "▁" + word
+
+
+@functools.lru_cache(maxsize=300_000)
+def _lattice(word: str, tokenizers: str) -> tuple[int, list[tuple[int, int, int]]]:
+    """Length and edges of a word of at most _KEPT_LETTERS letters."""
+    text = _spelled(word)
+    return len(text), list(_edges(text, tokenizers))
 
 
 class Unigrams:
@@ -169,6 +187,8 @@ class Unigrams:
 
     def word(self, word: str) -> np.ndarray:
         """Logarithm of the word's probability in each language, summed over all its segmentations."""
+        if len(word) > _KEPT_LETTERS:
+            return self._long_word(word)
         found = self.known.get(word)
         if found is None:
             n, edges = _lattice(word, self.tokenizers)
@@ -180,6 +200,20 @@ class Unigrams:
             self.known[word] = found
         return found
 
+    def _long_word(self, word: str) -> np.ndarray:
+        """``word`` of any length: what becomes too small for a number is scaled up, language by language."""
+        text, longest = _spelled(word), longest_piece(self.tokenizers)
+        alpha = np.zeros((len(text) + 1, len(self.languages)))
+        alpha[0], scale, at = 1.0, np.zeros(len(self.languages)), -1
+        for i, j, k in _edges(text, self.tokenizers):
+            if i != at:
+                at, small = i, alpha[i] < 1e-150
+                if small.any():
+                    alpha[i : i + longest + 1, small] *= 1e150
+                    scale[small] -= np.log(1e150)
+            alpha[j] += alpha[i] * self._p(k)
+        return np.log(np.maximum(alpha[-1], 1e-300)) + scale
+
     def _learn(self, clump: str) -> int:
         """The row of a clump not met before."""
         said = clump_words(clump)
@@ -235,14 +269,15 @@ def _smoothed(uses: np.ndarray) -> np.ndarray:
     return (uses + 20.0 * shared + 0.01) / (uses.sum(axis=0) + 20.0 + 0.01 * len(uses))
 
 
-def fit(labelled: list[tuple[str, str]], tokenizers: str = TOKENIZERS, em_rounds: int = EM_ROUNDS, relabel_rounds: int = RELABEL_ROUNDS) -> Unigrams | None:
+def fit(labelled: list[tuple[str, str]], tokenizers: str = TOKENIZERS, em_rounds: int = EM_ROUNDS, relabel_rounds: int = RELABEL_ROUNDS, label_trust: float = LABEL_TRUST) -> Unigrams | None:
     """Unigrams from (language, text) pairs whose labels may be wrong; None without a sentence."""
     languages = tuple(sorted({code for code, _ in labelled}))
-    told = [(languages.index(code), words(s)) for code, text in labelled for s in sentences(text)]
+    told = [(languages.index(code), [w for w in words(s) if len(w) <= SAMPLE_LETTERS]) for code, text in labelled for s in sentences(text)]
     told = [(code, found) for code, found in told if found]
     if not told:
         return None
     size = max(vocabulary(tokenizers).values()) + 1
+    labels, trust = [code for code, _ in told], label_trust * np.eye(len(languages))
     model = None
     for _ in range(1 + relabel_rounds):
         counts: dict[str, np.ndarray] = {}
@@ -261,20 +296,22 @@ def fit(labelled: list[tuple[str, str]], tokenizers: str = TOKENIZERS, em_rounds
         for _ in range(em_rounds):
             model = Unigrams(_smoothed(model.expected(counts)), languages, tokenizers)
         # a wrong label, and a sentence in another language than its document, moves to where it is likeliest
-        told = [(int(np.argmax(np.sum([model.word(w) for w in found], axis=0))), found) for _, found in told]
+        moved = [int(np.argmax(np.sum([model.word(w) for w in found], axis=0) + trust[label])) for label, (_, found) in zip(labels, told)]
+        told = [(code, found) for code, (_, found) in zip(moved, told)]
     return model
 
 
 def sample(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts of bounded length: all that reaches the driver."""
+    """At most ``rows`` labelled texts of bounded length for each language: all that reaches the driver."""
     low, high = SAMPLE_CHARS
+    order = Window.partitionBy("code").orderBy(F.xxhash64("_key"), "_key")  # cut to the first rows before the shuffle
     picked = (
         documents.select(F.col(key).alias("_key"), label_code(F.col(label)).alias("code"), F.col(text).alias("text"))
         .filter(F.col("code").isNotNull() & F.length("text").between(low, high))
-        .orderBy(F.xxhash64("_key"), "_key")
-        .limit(rows)
+        .withColumn("_at", F.row_number().over(order))
+        .filter(F.col("_at") <= rows)
     )
-    return [(r.code, r.text) for r in picked.select("code", "text").collect()]
+    return sorted((r.code, r.text) for r in picked.select("code", "text").collect())
 
 
 def stretches(text: str | None, model: Unigrams, switch: float = SWITCH) -> list[tuple[str, float, int]]:

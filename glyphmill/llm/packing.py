@@ -1,7 +1,8 @@
 """Filling fixed-capacity containers with items (problem 7): hierarchical residual packing.
 
 Each partition packs its items best-fit in decreasing order and emits the nearly full containers. The underfull ones
-go on as items of the next round, where four partitions at a time are merged and packed again.
+go on as items of the next round, merged into as many tasks as their measured number asks for, and are packed again,
+until what room they leave is too little to save a container, or a round no longer saves any to speak of.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from glyphmill.session import cut, shuffle_width
 
 #: A container filled to this share is emitted; the others are packed again.
 FULL = 0.985
-#: Rounds of merging after the first packing, and partitions merged into one by each.
-ROUNDS = 3
-MERGE = 4
+#: A round that leaves more than this share of the underfull containers of the round before is the last.
+SHRINK = 0.98
+#: Tasks of a round at least: what is left over is spread, however little it is.
+LEAST_TASKS = 2
 #: Items packed together in one step; a partition holds no more than these and what is left of the step before.
 WINDOW = 20_000
 #: The budget table is small by nature; more rows than this are refused.
@@ -96,30 +98,31 @@ def items(sizes: DataFrame, budgets: list[tuple[int, int]], key: str = "doc_id",
     )
 
 
-def pack(sizes: DataFrame, budgets: list[tuple[int, int]], key: str = "doc_id", size: str = "n_tokens", partitions: int | None = None, rounds: int = ROUNDS, full: float = FULL) -> DataFrame:
+def pack(sizes: DataFrame, budgets: list[tuple[int, int]], key: str = "doc_id", size: str = "n_tokens", partitions: int | None = None, full: float = FULL) -> DataFrame:
     """(budget_id, capacity, container_id, doc_id, part_no, n_tokens): each item's container, for every budget.
 
     Sizes of zero or null need no container and give no row. container_id names the container by its smallest item,
-    so it does not depend on the run. The tree never ends in one task: each round has a quarter of the partitions of
-    the round before, and a task packs at most a window of items at a time.
+    so it does not depend on the run. Calling it runs the rounds, each written to the checkpoint folder. The number of
+    underfull containers decides how many tasks a round has: half a window of them each, and never one task alone.
     """
     spark = sizes.sparkSession
     if not budgets:
         return spark.createDataFrame([], "budget_id int, capacity bigint, container_id string, doc_id bigint, part_no int, n_tokens bigint")
-    partitions = partitions or shuffle_width(spark)
-    offered = items(sizes, budgets, key, size)
-    whole = offered.filter("n_tokens = capacity").select("budget_id", "capacity", F.col("n_tokens").alias("size"), F.array("doc_id").alias("docs"), F.array("part_no").alias("parts"), F.array("n_tokens").alias("sizes"), F.lit(True).alias("done"))
-    open_bins = offered.filter("n_tokens < capacity").select("budget_id", "capacity", F.col("n_tokens").alias("size"), F.array("doc_id").alias("docs"), F.array("part_no").alias("parts"), F.array("n_tokens").alias("sizes"))
-    closed = whole
-    for at in range(rounds + 1):
-        width = max(1, partitions // MERGE**at)
+    width = max(LEAST_TASKS, partitions or shuffle_width(spark))
+    offered = items(sizes, budgets, key, size).select("budget_id", "capacity", F.col("n_tokens").alias("size"), F.array("doc_id").alias("docs"), F.array("part_no").alias("parts"), F.array("n_tokens").alias("sizes"))
+    closed = offered.filter("size = capacity").withColumn("done", F.lit(True))
+    open_bins, before, at = offered.filter("size < capacity"), None, 0
+    while True:
         # the same rows meet in the same order in every attempt, so a lost task gives the same containers again
-        spread = open_bins.repartition(width, F.pmod(F.xxhash64("docs", "parts"), F.lit(1 << 20))).sortWithinPartitions("budget_id", "docs", "parts")
+        spread = open_bins.repartition(width, F.pmod(F.xxhash64("docs", "parts", F.lit(at)), F.lit(1 << 20))).sortWithinPartitions("budget_id", "docs", "parts")
         bins = cut(spread.mapInPandas(_pack(full), _BIN))
-        closed = closed.unionByName(bins if at == rounds or width == 1 else bins.filter("done"))
-        if at == rounds or width == 1:
+        left = bins.filter("NOT done").groupBy("budget_id").agg(F.count("*").alias("n"), F.sum((F.col("capacity") - F.col("size")) / F.col("capacity")).alias("room")).collect()  # a row per budget
+        n = sum(r.n for r in left)
+        width = max(LEAST_TASKS, -(-2 * n // WINDOW))
+        if not any(r.room >= width for r in left) or before is not None and n > SHRINK * before:
+            closed = closed.unionByName(bins)
             break
-        open_bins = bins.filter("NOT done").drop("done")
+        closed, open_bins, before, at = closed.unionByName(bins.filter("done")), bins.filter("NOT done").drop("done"), n, at + 1
     member = F.arrays_zip(F.col("docs").alias("doc_id"), F.col("parts").alias("part_no"), F.col("sizes").alias("n_tokens"))
     first = F.array_min(F.transform(member, lambda m: F.struct(m["doc_id"], m["part_no"])))
     name = F.concat_ws("-", F.col("budget_id").cast("string"), first["doc_id"].cast("string"), first["part_no"].cast("string"))
@@ -145,3 +148,15 @@ def fill_report(packed: DataFrame) -> DataFrame:
     return per.groupBy("budget_id", "capacity").agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("n_tokens").alias("n_tokens")).withColumn(
         "fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))
     ).withColumn("least_containers", F.ceil(F.col("n_tokens") / F.col("capacity")))
+
+
+def packing_faults(packed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(budget_id, capacity, n_documents, n_over, n_amiss): packed documents, containers beyond their capacity, and documents whose parts are not the whole.
+
+    Parts amiss do not add up to the document, are cut without need, or lack a place in their order.
+    """
+    over = packed.groupBy("budget_id", "capacity", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("budget_id", "capacity").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_over"))
+    parts = packed.groupBy("budget_id", "capacity", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("n_parts"), F.countDistinct("part_no").alias("places"), F.max("part_no").alias("last"))
+    told = parts.join(sizes.select("doc_id", "n_tokens"), "doc_id")
+    right = (F.col("n") == F.col("n_tokens")) & (F.col("n_parts") == F.ceil(F.col("n_tokens") / F.col("capacity"))) & (F.col("places") == F.col("n_parts")) & (F.col("last") == F.col("n_parts") - 1)
+    return told.groupBy("budget_id", "capacity").agg(F.count("*").alias("n_documents"), F.count_if(~right).alias("n_amiss")).join(over, ["budget_id", "capacity"])

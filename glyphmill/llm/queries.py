@@ -52,6 +52,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, sf_dir))
 
 
+def p7_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed for each capacity, and what is wrong with their containers: nothing."""
+    documents = table(spark, sf_dir, "documents")
+    return packing.packing_faults(packing.pack_documents(documents, table(spark, sf_dir, "token_budgets")), tokens.token_counts(documents))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a missing or wrong label, and the stretches of documents in several languages."""
     return language.wrong_or_mixed(language.languages(table(spark, sf_dir, "documents")))
@@ -63,7 +69,7 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_symbols, p5_found, p5_records, p6_ids, p6_decoded, p7_packed, p7_fill, p8_found, p8_languages)
+    f.__name__: f for f in (p1_found, p1_symbols, p5_found, p5_records, p6_ids, p6_decoded, p7_packed, p7_fill, p7_faults, p8_found, p8_languages)
 }
 
 _SYMBOLS = f"SELECT rec_id, sym_name, coalesce(sym_category, '') AS sym_category FROM ({symbol_sql('pine_merged_entries', 'rec_id')}) WHERE sym_name IS NOT NULL"
@@ -100,5 +106,7 @@ ORACLE: dict[str, str] = {
     "p5_records": _RECORDS,
     "p1_found": f"""SELECT first_rec_id, rec_id FROM (SELECT rec_id, min(rec_id) OVER (PARTITION BY sym_name, sym_category) AS first_rec_id FROM ({_SYMBOLS})) WHERE rec_id > first_rec_id""",
     "p1_symbols": f"SELECT sym_name, sym_category, min(rec_id) AS first_rec_id, count(*) AS n_rows FROM ({_SYMBOLS}) GROUP BY 1, 2",
+    "p7_faults": """SELECT budget_id, CAST(capacity AS BIGINT) AS capacity, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_amiss
+        FROM (SELECT DISTINCT budget_id, capacity FROM token_budgets WHERE budget_id IS NOT NULL AND capacity > 0)""",
     "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
 }

@@ -172,6 +172,17 @@ def test_packing_keeps_every_token(spark):
     assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, packing.pack(sizes(spark, values), [(1, 512), (3, 2_048)], partitions=8).collect()))
 
 
+def test_rounds_follow_the_residual(spark):
+    """Few items in many tasks: the rounds go on while they save containers, and end when none can be saved."""
+    rng = random.Random(9)
+    values = [rng.randint(1, 100) for _ in range(3_000)]
+    packed = packing.pack(sizes(spark, values), [(1, 1_000)], partitions=64)
+    assert packed.select("container_id").distinct().count() <= -(-sum(values) // 1_000) + packing.LEAST_TASKS
+    faults = packing.packing_faults(packed, sizes(spark, values)).first()
+    assert (faults.n_documents, faults.n_over, faults.n_amiss) == (3_000, 0, 0)
+    assert packing.pack(sizes(spark, [7] * 50), [(1, 10)], partitions=1).select("container_id").distinct().count() == 50
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(sizes(spark, []), [(1, 10)]).count() == 0
     assert packing.pack(sizes(spark, [1]), []).count() == 0
@@ -224,6 +235,26 @@ def test_forward_sums_all_segmentations():
     assert abs(got - (0.5 * 0.25 + 0.125 + 0.1 * 0.2 * 0.25 + 0.1 * 0.05)) < 1e-9
 
 
+def test_long_words_count(spark):
+    assert language.words("Die Verantwortlichkeitsbewusstseinsfrage bleibt") == ["die", "verantwortlichkeitsbewusstseinsfrage", "bleibt"]
+    assert language.words("漢" * 40 + "は") == ["漢" * 40, "は"]
+
+
+@needs_data
+def test_words_of_any_length(model):
+    short = "verantwortlichkeitsbewusstsein"
+    assert abs(model.word(short) - model._long_word(short)).max() < 1e-6
+    endless = model.word("unterschiedlichkeit" * 5_000)
+    assert model.languages[int(endless.argmax())] == "de" and endless.max() < -10_000 and len(set(endless)) == len(endless)
+
+
+@needs_data
+def test_every_labelled_language_is_fitted(spark):
+    rows = [(i, "Please check the closing price of the bar.", "en") for i in range(500)] + [(900, "Personne ne sait pourquoi la légende reste vide.", "fr")]
+    picked = language.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), rows=10)
+    assert collections.Counter(code for code, _ in picked) == {"en": 10, "fr": 1}
+
+
 @needs_data
 def test_languages(spark, model):
     de, en, fr = "Bitte prüfen Sie, ob die Legende noch leer ist, sobald die Börse öffnet.", "Please check whether the closing price is still empty.", "Personne ne sait pourquoi la légende reste vide."
