@@ -61,7 +61,7 @@ def category_rank(category: Column) -> Column:
     return out
 
 
-def browse(rows: DataFrame, width: int = 80) -> DataFrame:
+def browse(rows: DataFrame) -> DataFrame:
     """(namespace, category, place, n_members, n_names, first_name, last_name): what each namespace holds, in listing order."""
     groups = rows.groupBy(F.coalesce("namespace", F.lit("")).alias("namespace"), F.coalesce("category", F.lit("")).alias("category")).agg(
         F.count("*").alias("n_members"), F.countDistinct("name").alias("n_names"), F.min("name").alias("first_name"), F.max("name").alias("last_name")
@@ -70,12 +70,12 @@ def browse(rows: DataFrame, width: int = 80) -> DataFrame:
 
 
 def type_methods(rows: DataFrame, shown: int = 30) -> DataFrame:
-    """(name, n_methods, methods): for each type with a short document, the functions of the namespace it names.
+    """(owner, n_methods, methods): for each namespace, the functions whose names begin with it.
 
     The names are those that start with the type's name and a dot, in order, the first ``shown`` of them; the rank is
     taken before they are collected, so no more than those are ever in one row.
     """
-    functions = rows.filter("category = 'function'").select(F.col("namespace").alias("owner"), F.col("name").alias("method")).filter("method like owner || '.%'").distinct()
+    functions = rows.filter("category = 'function'").select(F.col("namespace").alias("owner"), F.col("name").alias("method")).filter(F.startswith("method", F.concat("owner", F.lit(".")))).distinct()
     ranked = functions.withColumn("at", F.row_number().over(Window.partitionBy("owner").orderBy("method")))
     listed = ranked.groupBy("owner").agg(F.count("*").alias("n_methods"), F.array_sort(F.collect_list(F.when(F.col("at") <= shown, F.col("method")))).alias("methods"))
     return listed

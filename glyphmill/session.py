@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a single machine) is a local folder taken.
+    Only where that setting is absent on a single machine is a local folder taken; on a cluster its absence is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glyphmill-checkpoint-"))
 
 

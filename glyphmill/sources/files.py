@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions.scalar import fragment_category, namespace_of, strip
+from glyphmill.functions.scalar import fragment_category, namespace_of, plain_text, strip
 from glyphmill.sources.schemas import ENTRY
 
 #: What shows that a file without a known extension holds source code, within its first HEAD_LINES lines.
@@ -51,7 +51,7 @@ def page_links(pages: DataFrame, html: str = "html", base: str = "") -> DataFram
     """
     anchor = r"""(?is)<a\s[^>]*?href\s*=\s*["'][^"'#]*#([^"']+)["'][^>]*>(.*?)</a>"""
     found = pages.select(F.arrays_zip(F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(1)).alias("fragment"), F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(2)).alias("label")).alias("links"))
-    rows = found.select(F.posexplode("links").alias("pos", "l")).select("pos", "l.fragment", strip(F.regexp_replace("l.label", "<[^>]*>", "")).alias("label"))
+    rows = found.select(F.posexplode("links").alias("pos", "l")).select("pos", "l.fragment", strip(plain_text(F.col("l.label"))).alias("label"))
     known = rows.withColumn("category", fragment_category(F.col("fragment"))).filter("category != 'unknown'")
     first = known.groupBy("fragment", "category").agg(F.min_by("label", F.struct("pos", "label")).alias("display_name"))
     return first.select("fragment", F.concat(F.lit(f"{base}#"), "fragment").alias("url"), "display_name", "category", namespace_of(F.col("display_name")).alias("namespace"))
