@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.scalar import strip
-from glyphmill.session import cut, shuffle_width
+from glyphmill.session import cut
 
 #: Rows of one block of each side; a task holds one block of both at a time.
 BLOCK = 2_048
-#: Rows the cells of the vector index are fitted on, at most; every row is indexed.
+#: Codes of one block of the vector index: sixteen bytes a row where a vector has hundreds.
+CODE_BLOCK = 16_384
+#: Rows the codebooks of the vector index are fitted on, at most; every row is indexed.
 FIT_ROWS = 10_000
 
 
@@ -24,51 +27,83 @@ def _blocks(rows: DataFrame, key: str, value: str, count: int, name: str) -> Dat
     return each.groupBy(name).agg(F.array_sort(F.collect_list("r")).alias(f"{name}_rows"))
 
 
-def blocked_pairs(queries: DataFrame, corpus: DataFrame, key: str, value: str, n_queries: int, n_rows: int) -> DataFrame:
-    """(q, q_rows, c, c_rows): every block of a stated query set beside every block of the corpus.
+def _parts(n: int, block: int = BLOCK) -> int:
+    return max(1, -(-n // block))
+
+
+def _paired(asked: DataFrame, held: DataFrame, nq: int, nc: int) -> DataFrame:
+    """Every block of a stated query set (q) beside every block of the corpus (c).
 
     The blocks have a bounded number of rows, and each pair of blocks is one row, so the work spreads over the cluster.
     """
-    nq, nc = max(1, -(-n_queries // BLOCK)), max(1, -(-n_rows // BLOCK))
-    asked = _blocks(queries, key, value, nq, "q")
-    held = _blocks(corpus, key, value, nc, "c").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    return held.join(asked, "q").repartition(max(nq * nc, 1), "q", "c")
+    return held.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(asked, "q").repartition(max(nq * nc, 1), "q", "c")
+
+
+def blocked_pairs(queries: DataFrame, corpus: DataFrame, key: str, value: str, n_queries: int, n_rows: int) -> DataFrame:
+    """(q, q_rows, c, c_rows): the blocks of both sides, as rows of key and value, in pairs."""
+    nq, nc = _parts(n_queries), _parts(n_rows)
+    return _paired(_blocks(queries, key, value, nq, "q"), _blocks(corpus, key, value, nc, "c"), nq, nc)
 
 
-def _unit(rows: list, field: str) -> np.ndarray:
-    m = np.array([r[field] for r in rows], dtype=np.float64)
+def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)  # a zero vector is near nothing
 
 
+def _matrix(flat: np.ndarray, rows: int) -> np.ndarray:
+    return _unit(np.asarray(flat, dtype=np.float64).reshape(rows, -1))
+
+
+def _vectors(vectors: DataFrame, key: str, value: str) -> tuple[DataFrame, int, int]:
+    """The rows that can be compared, their number, and the length of most vectors: others, and vectors with a null, are left out."""
+    rows = vectors.select(key, value).filter(F.col(value).isNotNull() & ~F.exists(value, lambda x: x.isNull()))
+    size = rows.agg(F.mode(F.size(value), True)).first()[0] or 0
+    rows = rows.filter(F.size(value) == size)
+    return rows, rows.count(), size
+
+
+def _vector_blocks(rows: DataFrame, key: str, value: str, count: int, name: str) -> DataFrame:
+    """(name, name_ids, name_flat): the rows in ``count`` blocks, each as its ids and its vectors end to end."""
+    blocks = _blocks(rows, key, value, count, name)
+    held = F.col(f"{name}_rows")
+    return blocks.select(name, F.transform(held, lambda r: r[key]).alias(f"{name}_ids"), F.flatten(F.transform(held, lambda r: r[value])).alias(f"{name}_flat"))
+
+
+def _best(qs: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest of a block for each query, ties to the smaller id; what is near nothing is left out."""
+    d = np.where(np.isnan(d), np.inf, d)
+    order = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, 9)), axis=1)[:, :k]
+    out = pd.DataFrame({"query_id": np.repeat(qs, order.shape[1]), "vec_id": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
+    return out[np.isfinite(out["distance"])]
+
+
+_FOUND = "query_id bigint, vec_id bigint, distance double"
+
+
+def _asked(vectors: DataFrame, rows: DataFrame, queries: DataFrame | None, every: int, key: str, value: str) -> tuple[DataFrame, int]:
+    asked = rows.filter(F.pmod(F.col(key), F.lit(every)) == 0) if queries is None else _vectors(queries, key, value)[0]
+    return asked, asked.count()
+
+
 def vector_topk(vectors: DataFrame, k: int = 10, every: int = 50, key: str = "vec_id", value: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k nearest rows by cosine distance of every row whose id ``every`` divides.
 
     Exact: all rows are compared in blocks, each block keeps its own k best, and a rank over those few decides. Ties go
-    to the smaller id; a query's own row counts. Rows with a null vector are left out, zero vectors are near nothing.
-    With ``queries``, a table of the same columns, every row of it is asked; what is found are rows of ``vectors`` alone.
+    to the smaller id; a query's own row counts. Rows with a null vector, a null in it or another length than most are
+    left out, zero vectors are near nothing. With ``queries``, a table of the same columns, every row of it is asked;
+    what is found are rows of ``vectors`` alone, so a filter of ``vectors`` is a filter of what may be found. Calling it
+    counts both sides.
     """
-    rows = vectors.select(key, value).filter(F.col(value).isNotNull())
-    if queries is None:
-        asked_rows = rows.filter(F.pmod(F.col(key), F.lit(every)) == 0)
-        n_rows, n_queries = rows.agg(F.count("*"), F.count_if(F.pmod(F.col(key), F.lit(every)) == 0)).first()
-    else:
-        asked_rows = queries.select(key, value).filter(F.col(value).isNotNull())
-        n_rows, n_queries = rows.count(), asked_rows.count()
+    rows, n_rows, _ = _vectors(vectors, key, value)
+    asked, n_queries = _asked(vectors, rows, queries, every, key, value)
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for asked, held in zip(frame["q_rows"], frame["c_rows"]):
-                d = 1.0 - _unit(asked, value) @ _unit(held, value).T
-                ids, qs = np.array([r[key] for r in held]), np.array([r[key] for r in asked])
-                d = np.where(np.isnan(d), np.inf, d)
-                order = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, 9)), axis=1)[:, :k]
-                out = pd.DataFrame({"query_id": np.repeat(qs, order.shape[1]), "vec_id": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
-                yield out[np.isfinite(out["distance"])]
+            for qs, q, ids, c in zip(frame["q_ids"], frame["q_flat"], frame["c_ids"], frame["c_flat"]):
+                yield _best(np.asarray(qs), np.asarray(ids), 1.0 - _matrix(q, len(qs)) @ _matrix(c, len(ids)).T, k)
 
-    pairs = blocked_pairs(asked_rows, rows, key, value, n_queries, n_rows)
-    found = pairs.select("q_rows", "c_rows").mapInPandas(nearest, "query_id bigint, vec_id bigint, distance double")
-    return _ranked(found, k)
+    pairs = _paired(_vector_blocks(asked, key, value, _parts(n_queries), "q"), _vector_blocks(rows, key, value, _parts(n_rows), "c"), _parts(n_queries), _parts(n_rows))
+    return _ranked(pairs.select("q_ids", "q_flat", "c_ids", "c_flat").mapInPandas(nearest, _FOUND), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -76,59 +111,69 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-def fit_cells(vectors: DataFrame, cells: int, value: str = "embedding", key: str = "vec_id", rounds: int = 8) -> np.ndarray | None:
-    """Unit centres of the index, by spherical k-means on at most FIT_ROWS rows chosen by a hash of their ids."""
-    rows = vectors.select(value, F.xxhash64(key).alias("h"), key).filter(F.col(value).isNotNull()).orderBy("h", key).limit(FIT_ROWS).collect()
-    if not rows:
+def fit_codebooks(rows: DataFrame, parts: int, levels: int, value: str = "embedding", key: str = "vec_id", rounds: int = 6) -> list[np.ndarray] | None:
+    """Codebooks of a product quantiser: for each part of a unit vector ``levels`` centres, by k-means on at most FIT_ROWS rows chosen by a hash of their ids."""
+    sample = rows.select(value, F.xxhash64(key).alias("h"), key).orderBy("h", key).limit(FIT_ROWS).collect()
+    if not sample:
         return None
-    x = np.nan_to_num(_unit([r.asDict() for r in rows], value))
-    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy()
-    for _ in range(rounds):
-        mine = np.argmax(x @ centres.T, axis=1)
-        for c in range(len(centres)):
-            own = x[mine == c].sum(axis=0)
-            if np.linalg.norm(own) > 0:
-                centres[c] = own / np.linalg.norm(own)
-    return centres
-
-
-def vector_topk_indexed(vectors: DataFrame, k: int = 10, every: int = 50, cells: int = 24, probes: int = 17, key: str = "vec_id", value: str = "embedding") -> DataFrame:
-    """``vector_topk`` through an inverted file: queries look only into the ``probes`` cells nearest to them.
-
-    Every row is indexed; the centres are fitted on a bounded sample. Cells are split into blocks of bounded size, so a
-    crowded cell is several tasks. Approximate: the recall is measured in tests and in ``topk_recall``.
+    x = np.nan_to_num(_unit(np.array([r[value] for r in sample], dtype=np.float64)))
+    books = []
+    for part in np.array_split(np.arange(x.shape[1]), min(parts, x.shape[1])):
+        own = x[:, part]
+        centres = own[np.linspace(0, len(own) - 1, min(levels, len(own))).astype(int)].copy()
+        for _ in range(rounds):
+            mine = np.argmin((centres**2).sum(1) - 2 * own @ centres.T, axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, mine, own)
+            n = np.bincount(mine, minlength=len(centres))[:, None]
+            centres = np.where(n > 0, sums / np.maximum(n, 1), centres)
+        books.append(centres)
+    return books
+
+
+def vector_topk_indexed(vectors: DataFrame, k: int = 10, every: int = 50, parts: int = 16, levels: int = 256, candidates: int = 200, key: str = "vec_id", value: str = "embedding") -> DataFrame:
+    """``vector_topk`` through product quantisation: a row is ``parts`` bytes, the ``candidates`` best by codes are compared exactly.
+
+    Every row is encoded; the codebooks are fitted on a bounded sample. Codes and queries meet in blocks of bounded size
+    on both sides, where only codes are moved for the corpus; a second join fetches the vectors of the candidates.
+    Approximate: the recall is measured in tests and by ``topk_recall``.
     """
-    rows = vectors.select(key, value).filter(F.col(value).isNotNull())
-    centres = fit_cells(rows, cells, value, key)
-    if centres is None:
+    rows, n_rows, size = _vectors(vectors, key, value)
+    books = fit_codebooks(rows, parts, levels, value, key)
+    if books is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, distance double")
+    edges = np.cumsum([0, *[b.shape[1] for b in books]])
 
-    def celled(best: int):
-        @F.pandas_udf("array<int>")
-        def cell(v: pd.Series) -> pd.Series:
-            x = np.nan_to_num(_unit([{"v": a} for a in v], "v"))
-            return pd.Series(list(np.argsort(-(x @ centres.T), axis=1)[:, :best].astype("int32")))
-
-        return cell
+    @F.pandas_udf("binary")
+    def code(v: pd.Series) -> pd.Series:
+        x = np.nan_to_num(_matrix(np.concatenate(v.to_numpy()), len(v))) if len(v) else np.empty((0, size))
+        nearest = [np.argmin((b**2).sum(1) - 2 * x[:, i:j] @ b.T, axis=1) for b, i, j in zip(books, edges, edges[1:])]
+        return pd.Series([row.tobytes() for row in np.stack(nearest, axis=1).astype("uint8")])
 
-    indexed = rows.withColumn("cell", celled(1)(F.col(value))[0])
-    sizes = cut(indexed.groupBy("cell").agg(F.count("*").alias("n")))  # a row per cell
-    parts = sizes.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    held = indexed.join(F.broadcast(parts), "cell").groupBy("cell", F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct(key, value)).alias("c_rows"))
-    asked = rows.filter(F.pmod(F.col(key), F.lit(every)) == 0).withColumn("cell", F.explode(celled(probes)(F.col(value))))
-    asked = asked.join(F.broadcast(parts), "cell").groupBy("cell", "parts", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(shuffle_width(vectors.sparkSession))).alias("q")).agg(F.collect_list(F.struct(key, value)).alias("q_rows"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    coded = _blocks(rows.withColumn("code", code(value)), key, "code", _parts(n_rows, CODE_BLOCK), "c")
+    coded = coded.select("c", F.transform("c_rows", lambda r: r[key]).alias("c_ids"), F.transform("c_rows", lambda r: r["code"]).alias("c_codes"))
+    asked, n_queries = _asked(vectors, rows, None, every, key, value)
+    pairs = _paired(_vector_blocks(asked, key, value, _parts(n_queries), "q"), coded, _parts(n_queries), _parts(n_rows, CODE_BLOCK))
 
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for a, h in zip(frame["q_rows"], frame["c_rows"]):
-                d = np.nan_to_num(1.0 - _unit(a, value) @ _unit(h, value).T, nan=np.inf)
-                ids, qs = np.array([r[key] for r in h]), np.array([r[key] for r in a])
-                order = np.lexsort((np.broadcast_to(ids, d.shape), np.round(d, 9)), axis=1)[:, :k]
-                out = pd.DataFrame({"query_id": np.repeat(qs, order.shape[1]), "vec_id": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
-                yield out[np.isfinite(out["distance"])]
+            for qs, q, ids, codes in zip(frame["q_ids"], frame["q_flat"], frame["c_ids"], frame["c_codes"]):
+                each = np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), len(books))
+                told = np.concatenate([b[each[:, j]] for j, b in enumerate(books)], axis=1)
+                yield _best(np.asarray(qs), np.asarray(ids), 1.0 - _matrix(q, len(qs)) @ told.T, candidates)
+
+    near = _ranked(pairs.select("q_ids", "q_flat", "c_ids", "c_codes").mapInPandas(likely, _FOUND), candidates)
 
-    return _ranked(held.join(asked, ["cell", "part"]).select("q_rows", "c_rows").mapInPandas(nearest, "query_id bigint, vec_id bigint, distance double"), k)
+    @F.pandas_udf("double")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        x, y = (_matrix(np.concatenate(v.to_numpy()), len(v)) for v in (a, b))
+        return pd.Series(1.0 - (x * y).sum(axis=1))
+
+    pairs = near.select("query_id", F.col("vec_id").alias("near_id")).join(rows.select(F.col(key).alias("near_id"), F.col(value).alias("_held")), "near_id").join(asked.select(F.col(key).alias("query_id"), F.col(value).alias("_asked")), "query_id")
+    exact = pairs.select("query_id", F.col("near_id").alias("vec_id"), distance("_asked", "_held").alias("distance")).filter(~F.isnan("distance"))
+    return _ranked(exact, k)
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -149,12 +194,43 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * lcs_length(a, b) / (len(a) + len(b))
 
 
+#: Letters are counted in this many groups; a shared group only loosens the bound.
+_GROUPS = 64
+
+
+def _letters(names: list[str]) -> np.ndarray:
+    counts = np.zeros((len(names), _GROUPS), np.int32)
+    for row, name in zip(counts, names):
+        for ch in name:
+            row[ord(ch) * 37 % _GROUPS] += 1
+    return counts
+
+
+def most_alike(query: str, names: list[str], letters: np.ndarray, lengths: np.ndarray, score: float, best: int) -> list[tuple[float, str]]:
+    """The ``best`` names most like the query, of at least ``score``, as (score, name), ties by name.
+
+    No two texts have a longer common subsequence than letters in common, which bounds the score; names are looked at
+    in the order of that bound until it falls below the score, or below the least of the best found. Nothing is lost.
+    """
+    bound = 200.0 * np.minimum(letters, _letters([query])).sum(axis=1) / (lengths + len(query))
+    found: list[tuple[float, str]] = []
+    for i in np.argsort(-bound, kind="stable"):
+        least = max(score, -found[best - 1][0]) if len(found) >= best else score
+        if bound[i] < least - 1e-9:
+            break
+        ratio = indel_ratio(query, names[i])
+        if ratio >= score:
+            insort(found, (-ratio, names[i]))
+    return [(-r, name) for r, name in found[:best]]
+
+
 def fuzzy_names(names: DataFrame, queries: DataFrame, score: float = 70.0, best: int = 5, within: str | None = None) -> DataFrame:
     """(query, rank, name, score): the ``best`` names most like each query, of at least ``score``.
 
     Both sides have one column ``name``; they are made distinct in lower case without ``()``, nulls and blanks left
-    out. All names are compared in blocks; pairs whose lengths cannot reach the score are passed over. With ``within``,
-    a text column of both sides that the result has too, only names of a query's own value are compared, nulls with none.
+    out. The stated queries meet all names in blocks; within a block only names that the letters in common let reach
+    the score are compared, which loses none. With ``within``, a text column of both sides that the result has too, only
+    names of a query's own value are compared, nulls with none. Calling it writes both sides to the checkpoint folder.
     """
     name = F.lower(F.replace(strip(F.col("name")), F.lit("()"), F.lit(""))).alias("name")
     plain = lambda d: d.select(name, (F.col(within) if within else F.lit("")).alias("v")).filter("name != '' AND v IS NOT NULL").distinct()
@@ -168,14 +244,10 @@ def fuzzy_names(names: DataFrame, queries: DataFrame, score: float = 70.0, best:
                 others: dict[str, list[str]] = {}
                 for r in cs:
                     others.setdefault(r["v"], []).append(r["name"])
+                counted = {v: (held, _letters(held), np.array([len(n) for n in held])) for v, held in others.items()}
                 for q, v in ((r["name"], r["v"]) for r in qs):
-                    near = []
-                    for name in others.get(v, []):
-                        if 200.0 * min(len(q), len(name)) >= score * (len(q) + len(name)):
-                            s = indel_ratio(q, name)
-                            if s >= score:
-                                near.append((q, v, name, s))
-                    out += sorted(near, key=lambda x: (-x[3], x[2]))[:best]
+                    if v in counted:
+                        out += [(q, v, n, s) for s, n in most_alike(q, *counted[v], score, best)]
             yield pd.DataFrame(out, columns=["query", "v", "name", "score"])
 
     found = pairs.select("q_rows", "c_rows").mapInPandas(alike, "query string, v string, name string, score double")
@@ -196,8 +268,8 @@ def content_dedup(rows: DataFrame, text: str, rank: str, distance: str | None =
     return first.filter(F.col(distance) < limit) if distance else first
 
 
-def fuse(vector_hits: DataFrame, name_hits: DataFrame, n: int) -> DataFrame:
-    """(query_id, place, id, distance): name hits before vector hits, the first n.
+def fuse(vector_hits: DataFrame, name_hits: DataFrame, n: int | None = None) -> DataFrame:
+    """(query_id, place, id, distance): name hits before vector hits, the first n, or all.
 
     vector_hits: query_id, rank, id, distance. name_hits: query_id, score, seen, id. Name hits come by score and order
     seen; a hit the vectors have too keeps its distance, another gets 0.01. A query without vector hits has no rows.
@@ -206,7 +278,8 @@ def fuse(vector_hits: DataFrame, name_hits: DataFrame, n: int) -> DataFrame:
     named = name_hits.join(has, "query_id", "left_semi").withColumn("name_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seen", "id")))
     both = vector_hits.join(named.select("query_id", "id", "name_rank"), ["query_id", "id"], "full_outer")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("name_rank").isNull(), "name_rank", "rank"))
-    return both.withColumn("place", place).filter(F.col("place") <= n).select("query_id", "place", "id", F.coalesce("distance", F.lit(0.01)).alias("distance"))
+    fused = both.withColumn("place", place).select("query_id", "place", "id", F.coalesce("distance", F.lit(0.01)).alias("distance"))
+    return fused.filter(F.col("place") <= n) if n else fused
 
 
 def interleave(hits: DataFrame, supplement: DataFrame, wanted: tuple = ("function", "variable", "type", "constant")) -> DataFrame:

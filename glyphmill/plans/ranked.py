@@ -30,6 +30,11 @@ def topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.agg(F.count("*").alias("n_exact"), F.sum(F.coalesce("hit", F.lit(0))).alias("n_found")).withColumn("recall", F.col("n_found") / F.col("n_exact"))
 
 
+def topk_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the indexed search finds nine in ten of the exact one's rows."""
+    return topk_recall(spark, sf_dir).select("n_exact", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def vector_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors under a distance of 0.95, with their relevance in percent."""
     return vector_topk(spark, sf_dir).filter("distance < 0.95").select("query_id", "vec_id", S.relevance(F.col("distance")).alias("relevance"))
@@ -53,17 +58,21 @@ def _about(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return docs, hits
 
 
-def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents about the query document's symbol, those of its own source first, before the nearest vectors; the first ten of both."""
-    docs, hits = _about(spark, sf_dir)
+def name_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, seen, score): the ten documents and more about each query document's symbol, those of its own source first."""
     known = docs.filter("about_name is not null").select("id", "about_name", F.col("source").alias("own"))
     first = lambda *keys: known.withColumn("seen", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter("seen <= 10")
-    asked = hits.select("query_id").distinct().join(docs.select(F.col("id").alias("query_id"), "about_name", F.col("source").alias("own")), "query_id")
+    asked = queries.join(docs.select(F.col("id").alias("query_id"), "about_name", F.col("source").alias("own")), "query_id")
     # the ten best of a query by (score, id) are among the first ten of its own source and the first ten of any source
     same = asked.join(first("about_name", "own"), ["about_name", "own"]).select("query_id", "id", "seen", F.lit(100.0).alias("score"))
     others = asked.join(first("about_name").withColumnRenamed("own", "source"), "about_name").filter(~F.coalesce(F.col("own") == F.col("source"), F.lit(False)))
-    named = same.unionByName(others.select("query_id", "id", "seen", F.lit(85.0).alias("score")))
-    return search.fuse(hits, named, 10)
+    return same.unionByName(others.select("query_id", "id", "seen", F.lit(85.0).alias("score")))
+
+
+def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents about the query document's symbol, those of its own source first, before the nearest vectors; the first ten of both."""
+    docs, hits = _about(spark, sf_dir)
+    return search.fuse(hits, name_hits(docs, hits.select("query_id").distinct()), 10)
 
 
 def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +109,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (vector_topk, vector_topk_indexed, topk_recall, vector_relevance, content_dedup, fuzzy_names, rank_fusion, interleaved, lookup_ladder, lookup_suggestions, query_terms)
+    f.__name__: f for f in (vector_topk, vector_topk_indexed, topk_recall, topk_reached, vector_relevance, content_dedup, fuzzy_names, rank_fusion, interleaved, lookup_ladder, lookup_suggestions, query_terms)
 }
 
 _TOPK = """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS INT) AS rank, vec_id, round(d, 6) AS distance
@@ -112,7 +121,46 @@ _LCS = """list_reduce(list_transform(range(0, len(a) + 1), lambda i: CASE WHEN i
 
 _STOPS = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
 
+
+
+def _alike(a: str, b: str) -> str:
+    """The score of two names in SQL."""
+    return f"(SELECT 200.0::DOUBLE * ({_LCS}) / (len(a) + len(b)) FROM (SELECT string_split({a}, '') AS a, string_split({b}, '') AS b))"
+
+
+def _stripped(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+def _bare(x: str) -> str:
+    return _stripped(f"lower(regexp_replace({_stripped(x)}, '[()]+$', ''))")
+
+
+def _ladder_sql(hot: bool) -> str:
+    names, spaces = ", ".join(f"'{n}'" for n in HOT_NAMES), ", ".join(f"'{n}'" for n in HOT_NAMESPACES)
+    winners = f"""SELECT nk, row_no, category, syntax FROM c WHERE nk IN ({names}) OR list_position([{spaces}], namespace) > 0
+        QUALIFY row_number() OVER (PARTITION BY nk ORDER BY nk NOT IN ({names}), CASE WHEN nk IN ({names}) THEN 0 ELSE -dl END, CASE WHEN nk IN ({names}) THEN 0 ELSE list_position([{spaces}], namespace) END, row_no) = 1"""
+    return f"""q AS (SELECT removal_id AS query_id, coalesce({_bare('name')}, '') AS nk, category FROM entry_removals WHERE removal_id % 50 = 0),
+        c AS (SELECT row_no, {_bare('name')} AS nk, category, namespace, syntax, length(coalesce(document, '')) AS dl,
+          CASE WHEN (contains(coalesce(syntax, ''), '(') AND contains(coalesce(syntax, ''), ')')) OR coalesce(raw_parameters, '') <> '' THEN 1 WHEN coalesce(syntax, '') <> '' THEN 2 ELSE 3 END AS tier FROM catalog_records WHERE name IS NOT NULL),
+        own AS (SELECT nk, category, min(row_no) AS own_row FROM c WHERE nk <> '' GROUP BY 1, 2),
+        best AS (SELECT nk, row_no AS best_row FROM c WHERE nk <> '' QUALIFY row_number() OVER (PARTITION BY nk ORDER BY tier, CASE WHEN tier = 3 THEN -dl ELSE 0 END, row_no) = 1),
+        hot AS (SELECT nk, row_no AS hot_row, category AS hot_category FROM ({winners}) WHERE coalesce(syntax, '') <> '' AND nk <> '' AND {'true' if hot else 'false'}),
+        x AS (SELECT q.*, own_row, best_row, CASE WHEN q.category IS NULL OR q.category = hot_category THEN hot_row END AS hot_row FROM q LEFT JOIN own ON own.nk = q.nk AND own.category = q.category LEFT JOIN best ON best.nk = q.nk LEFT JOIN hot ON hot.nk = q.nk),
+        lost AS (SELECT DISTINCT nk, category FROM x WHERE best_row IS NULL AND nk <> ''),
+        i AS (SELECT l.nk, l.category, own_row FROM lost l JOIN own o ON o.category = l.category AND {_alike('l.nk', 'o.nk')} >= 85 QUALIFY row_number() OVER (PARTITION BY l.nk, l.category ORDER BY {_alike('l.nk', 'o.nk')} DESC, o.nk) = 1),
+        n AS (SELECT l.nk, best_row FROM (SELECT DISTINCT nk FROM lost ANTI JOIN i USING (nk, category)) l JOIN best b ON {_alike('l.nk', 'b.nk')} >= 85 QUALIFY row_number() OVER (PARTITION BY l.nk ORDER BY {_alike('l.nk', 'b.nk')} DESC, b.nk) = 1),
+        a AS (SELECT x.query_id, x.nk AS name_key, x.category, CASE WHEN hot_row IS NOT NULL THEN 'hot' WHEN x.own_row IS NOT NULL THEN 'exact_in_category' WHEN x.best_row IS NOT NULL THEN 'exact' WHEN coalesce(i.own_row, n.best_row) IS NOT NULL THEN 'alike' ELSE 'not_found' END AS stage,
+          coalesce(hot_row, x.own_row, x.best_row, i.own_row, n.best_row) AS row FROM x LEFT JOIN i ON i.nk = x.nk AND i.category = x.category LEFT JOIN n ON n.nk = x.nk)"""
+
+
 ORACLE: dict[str, str] = {
+    "topk_reached": f"SELECT count(*) AS n_exact, true AS reached FROM ({_TOPK})",
+    "lookup_ladder": f"WITH {_ladder_sql(True)} SELECT query_id, name_key, stage, row FROM a",
+    "lookup_suggestions": f"""WITH {_ladder_sql(False)}, m AS (SELECT query_id, name_key, category FROM a WHERE stage = 'not_found' AND name_key <> ''),
+        p AS (SELECT m.query_id, o.nk, {_alike('m.name_key', 'o.nk')} AS score FROM m JOIN own o ON o.category = m.category),
+        r AS (SELECT m.query_id, o.nk, {_alike('m.name_key', 'o.nk')} AS score FROM (SELECT * FROM m WHERE query_id NOT IN (SELECT query_id FROM p)) m, (SELECT DISTINCT nk FROM own) o)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, nk) AS INT) AS rank, nk AS name, round(score, 6) AS score FROM (SELECT * FROM p UNION ALL SELECT * FROM r) QUALIFY rank <= 5""",
     "vector_topk": _TOPK,
     "vector_relevance": f"SELECT query_id, vec_id, CAST(round_even(greatest(0, 1 - distance) * 100, 0) AS INT) AS relevance FROM ({_TOPK}) WHERE distance < 0.95",
     "content_dedup": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(substring(coalesce(text,''), 1, 120), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) ORDER BY doc_id) = 1",
