@@ -1,13 +1,15 @@
-"""Texts against a table of patterns: the first and the longest pattern that a text contains."""
+"""Texts against a table of patterns: the first and the longest pattern that a text contains, and the hint of it."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The pattern table is small by nature; more patterns than this are refused.
+#: The pattern table is small by nature; more patterns than this are refused. Each regular expression holds a part of them.
 MAX_PATTERNS = 100_000
+PART = 5_000
 
 
 def pattern_list(patterns: DataFrame, order: str, pattern: str) -> list[tuple[int, str]]:
@@ -18,26 +20,44 @@ def pattern_list(patterns: DataFrame, order: str, pattern: str) -> list[tuple[in
     return sorted((r.o, r.p) for r in rows)
 
 
+def _either(texts: list[str], depth: int = 2) -> str:
+    """An expression for any of the texts, the longest first, with common beginnings shared."""
+    if depth == 0 or len(texts) < 3:
+        return "|".join(re.escape(t) for t in sorted(texts, key=len, reverse=True))
+    heads: dict[str, list[str]] = {}
+    for text in texts:
+        heads.setdefault(text[:1], []).append(text[1:])
+    last = heads.pop("", None)  # the text that ends here is the shortest
+    parts = [f"{re.escape(h)}(?:{_either(rest, depth - 1)})" for h, rest in heads.items()]
+    return "|".join([*parts, *([""] if last else [])])
+
+
 def match_patterns(texts: DataFrame, key: str, text: str, patterns: list[tuple[int, str]]) -> DataFrame:
     """(key, first_match, longest_match): orders of the first pattern a text contains, and of the longest (ties: first).
 
-    Case does not matter. All patterns are found in one pass over each text by an automaton, in Arrow batches. Texts
-    without a match, null and empty texts give no row.
+    Case does not matter. One expression finds the longest pattern at every place of a text, overlaps included; patterns
+    that begin another one are found with it, so their orders are known beforehand. Built-in functions alone, no shuffle.
+    Texts without a match, null and empty texts give no row.
     """
-    table = list(patterns)
-
-    @F.pandas_udf("first_match bigint, longest_match bigint")
-    def match(values: pd.Series) -> pd.DataFrame:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for order, pattern in reversed(table):  # of equal patterns the first order stays
-            automaton.add_word(pattern, (order, len(pattern)))
-        automaton.make_automaton()
-        out = []
-        for value in values:
-            hits = {hit for _, hit in automaton.iter(value.lower())} if table and value else ()
-            out.append((min(o for o, _ in hits), min((-n, o) for o, n in hits)[1]) if hits else (None, None))
-        return pd.DataFrame(out, columns=["first_match", "longest_match"]).astype("Int64")
-
-    return texts.select(F.col(key), match(F.col(text)).alias("m")).select(key, "m.*").filter("first_match is not null")
+    orders: dict[str, int] = {}
+    for order, pattern in patterns:
+        orders[pattern] = min(order, orders.get(pattern, order))
+    told = {p: min(orders[p[:n]] for n in range(1, len(p) + 1) if p[:n] in orders) for p in orders}
+    if not told:
+        return texts.select(key, F.lit(None).cast("bigint").alias("first_match"), F.lit(None).cast("bigint").alias("longest_match")).limit(0)
+    names = sorted(told)
+    lower, best = F.lower(F.col(text)), []
+    for at in range(0, len(names), PART):
+        some = names[at : at + PART]
+        table = F.map_from_arrays(F.array(*[F.lit(p) for p in some]), F.array(*[F.struct(F.lit(told[p]).cast("bigint").alias("first"), F.lit(-len(p)).alias("size"), F.lit(orders[p]).cast("bigint").alias("own")) for p in some]))
+        found = F.array_distinct(F.regexp_extract_all(lower, F.lit(f"(?=({_either(some)}))"), F.lit(1)))
+        best.append(F.transform(found, lambda p: table[p]))  # noqa: B023
+    hits = texts.select(key, F.concat(*best).alias("_hits")).filter(F.size("_hits") > 0)
+    longest = F.array_min(F.transform("_hits", lambda h: F.struct(h["size"].alias("size"), h["own"].alias("own"))))
+    return hits.select(key, F.array_min(F.transform("_hits", lambda h: h["first"])).alias("first_match"), longest["own"].alias("longest_match"))
+
+
+def filled(hint: Column, text: Column) -> Column:
+    """A hint with ``{name}`` as the first identifier in single quotes of the text, ``value`` without one."""
+    quoted = F.regexp_extract(text, r"'([a-zA-Z_][a-zA-Z0-9_.]*)'", 1)
+    return F.replace(hint, F.lit("{name}"), F.when(quoted != "", quoted).otherwise("value"))

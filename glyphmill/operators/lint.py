@@ -23,9 +23,9 @@ def raw_lines(code: Column) -> Column:
     return F.split(F.regexp_replace(code, r"\R\z", ""), r"\R")
 
 
-def clean_lines(raw: Column) -> Column:
-    """struct(line_no, c) of each line, from 1, with literals emptied and comments cut."""
-    return F.transform(raw, lambda l, i: F.struct((i + 1).cast("int").alias("line_no"), F.regexp_replace(blank_literals(l), "//.*$", "").alias("c")))
+def clean_lines(code: Column) -> Column:
+    """struct(line_no, c) of each line, from 1, with the literals of the whole code blanked and comments cut."""
+    return F.transform(raw_lines(blank_literals(code)), lambda l, i: F.struct((i + 1).cast("int").alias("line_no"), F.regexp_replace(l, "(?s)//.*$", "").alias("c")))
 
 
 def _diagnostic(line: Column, code: str, text: Column | str, kind: str = "error") -> Column:
@@ -45,18 +45,18 @@ def _header() -> Column:
     first = F.slice("_raw", 1, 10)
     told = F.get(F.filter(F.transform(first, lambda l, i: F.struct((i + 1).alias("line_no"), F.regexp_extract(l, r"^\s*//@version=(\d)", 1).alias("v"))), lambda x: x["v"] != ""), F.lit(0))
     other = F.coalesce(told["v"] != "6", F.lit(False))
-    text = F.when(other, F.concat(F.lit("Version "), told["v"], F.lit(" detected. This server requires //@version=6"))).otherwise("Missing //@version=6 header. First line must be //@version=6")
+    text = F.when(other, F.concat(F.lit("The code says version "), told["v"], F.lit(", not //@version=6"))).otherwise("No //@version=6 in the first ten lines")
     return _once(~F.exists(first, lambda l: l.contains("//@version=6")), _diagnostic(F.when(other, told["line_no"]).otherwise(1), "LOCAL_VERSION", text))
 
 
 def _study() -> Column:
     lines = F.filter("_lines", lambda l: F.rlike(l["c"], F.lit(r"\bstudy\s*\(")))
-    return _once(F.size(lines) > 0, _diagnostic(F.get(lines, F.lit(0))["line_no"], "LOCAL_V5_STUDY", "study() is v5 syntax. Use indicator() in v6"))
+    return _once(F.size(lines) > 0, _diagnostic(F.get(lines, F.lit(0))["line_no"], "LOCAL_V5_STUDY", "study() is now called indicator()"))
 
 
 def _colors(pattern: str) -> Column:
     named = F.transform("_lines", lambda l: F.struct(l["line_no"].alias("line_no"), F.regexp_extract(l["c"], pattern, 1).alias("n")))
-    text = lambda n: F.concat(F.lit("Bare color '"), n, F.lit("' is v4 syntax. Use color."), n, F.lit(" in v6"))
+    text = lambda n: F.concat(F.lit("The color "), n, F.lit(" is now written color."), n)
     return F.transform(F.filter(named, lambda x: x["n"].isin(*OLD_COLORS)), lambda x: _diagnostic(x["line_no"], "LOCAL_V4_COLOR", text(x["n"])))
 
 
@@ -73,8 +73,8 @@ def _balance(opening: str, closing: str, extra: str, lacking: str, word: str) ->
         )
 
     def told(acc: Column) -> Column:
-        closed = F.transform(acc["bad"], lambda n: _diagnostic(n, extra, f"Unmatched closing {word} '{closing}'"))
-        text = F.concat(F.lit(f"Unclosed {word} - "), acc["depth"].cast("string"), F.lit(f" '{opening}' without matching '{closing}'"))
+        closed = F.transform(acc["bad"], lambda n: _diagnostic(n, extra, f"No {word} was opened for this '{closing}'"))
+        text = F.concat(acc["depth"].cast("string"), F.lit(f" of '{opening}' never closed by a {word}"))
         return F.concat(closed, _once(acc["depth"] > 0, _diagnostic(F.size("_lines"), lacking, text)))
 
     return F.aggregate(signs, start, step, told)
@@ -84,49 +84,54 @@ def _reassigned() -> Column:
     pick = lambda pattern: F.filter(F.transform("_lines", lambda l: F.struct(l["line_no"].alias("line_no"), F.regexp_extract(l["c"], pattern, 1).alias("n"))), lambda x: x["n"] != "")
     declared = pick(r"^\s*(?:var\s+|varip\s+)?(?:\w+\s+)?(\w+)\s*=(?![=>])")
     early = F.filter(pick(r"^\s*(\w+)\s*:="), lambda u: ~F.exists(declared, lambda d: (d["n"] == u["n"]) & (d["line_no"] <= u["line_no"])))
-    text = lambda n: F.concat(F.lit("'"), n, F.lit("' uses := before being declared with =. Use = for first declaration"))
+    text = lambda n: F.concat(n, F.lit(" gets a value by := before its declaration by ="))
     return F.transform(early, lambda u: _diagnostic(u["line_no"], "LOCAL_REASSIGN", text(u["n"])))
 
 
 def _strategy() -> Column:
-    declared = F.exists("_lines", lambda l: F.rlike(l["c"], F.lit(r"\bstrategy\s*\(")))
-    called = F.exists("_lines", lambda l: F.rlike(l["c"], F.lit(r"\bstrategy\.(entry|exit|close|order|cancel)")))
-    return _once(called & ~declared, _diagnostic(F.lit(0), "", "strategy.* functions used without strategy() declaration. Use strategy() instead of indicator()"))
+    whole = F.array_join(F.transform("_lines", lambda l: l["c"]), "\n")
+    declared, called = whole.rlike(r"\bstrategy\s*\("), whole.rlike(r"\bstrategy\.(entry|exit|close|order|cancel)")
+    return _once(called & ~declared, _diagnostic(F.lit(0), "", "Strategy calls need a strategy() declaration"))
 
 
 def _bare() -> Column:
     pattern = F.lit(rf"(?<![\w.])({'|'.join(BARE_FUNCTIONS)})\s*\(")
     named = F.transform("_lines", lambda l: F.struct(l["line_no"].alias("line_no"), F.array_min(F.regexp_extract_all(l["c"], pattern, F.lit(1))).alias("n")))
-    text = lambda n: F.concat(F.lit("Bare '"), n, F.lit("()' is v5 syntax. Use ta."), n, F.lit("() in v6"))
+    text = lambda n: F.concat(n, F.lit("() is now called ta."), n, F.lit("()"))
     return F.transform(F.filter(named, lambda x: x["n"].isNotNull()), lambda x: _diagnostic(x["line_no"], "", text(x["n"])))
 
 
-def lint(codes: DataFrame, key: str = "doc_id", code: str = "code") -> DataFrame:
-    """(key, line_no, code, text, type): the diagnostics of every code; codes without one give no row.
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def lint(codes: DataFrame, key: str | list[str] = "doc_id", code: str = "code") -> DataFrame:
+    """(keys, line_no, code, text, type): the diagnostics of every code; codes without one give no row.
 
     Rules: version header, old study call, bare old colours, balance of parentheses and brackets, reassignment before
     declaration, comparison with na, unchecked array access, varip without input, strategy calls without declaration,
     the removed transp argument, bare functions (of several in a line the first by name). String literals and comments
     never match. Null and empty codes give no row.
     """
+    # fixed values: the patterns of the rules and the codes they tell; what they say is in own words
     rules = [
         _header(), _study(), _colors(r"\bcolor\s*=\s*(\w+)"), _colors(r"\bbgcolor\s*\(\s*(\w+)"), _balance("(", ")", "CE10016", "CE10015", "parenthesis"), _balance("[", "]", "LOCAL_BRACKET", "LOCAL_BRACKET", "bracket"), _reassigned(),
-        _matching(r"==\s*na\b|\bna\s*==", "LOCAL_NA_CMP", "Use na(x) instead of x == na for na comparison"), _matching(r"!=\s*na\b|\bna\s*!=", "", "Use not na(x) instead of x != na for na comparison"),
-        _matching(r"array\.get\s*\(", "", "array.get() without bounds check may cause runtime error. Check index < array.size() first", "warning"),
-        _matching(r"^\s*varip\s+\w+\s*=\s*(?!.*input\().+", "", "varip is designed for input() values. Complex expressions may not work correctly", "warning"),
-        _strategy(), _matching(r",\s*transp\s*=", "", "transp= parameter removed in v6. Use color.new(color, transparency) instead", "warning"), _bare(),
+        _matching(r"==\s*na\b|\bna\s*==", "LOCAL_NA_CMP", "Nothing equals na; ask na(x)"), _matching(r"!=\s*na\b|\bna\s*!=", "", "Everything differs from na; ask not na(x)"),
+        _matching(r"array\.get\s*\(", "", "array.get() fails beyond array.size()", "warning"),
+        _matching(r"^\s*varip\s+\w+\s*=\s*(?!.*input\().+", "", "varip without an input() may not keep what it holds", "warning"),
+        _strategy(), _matching(r",\s*transp\s*=", "", "The argument transp is gone; color.new() takes the transparency", "warning"), _bare(),
     ]
-    rows = codes.filter(F.col(code) != "").select(key, raw_lines(F.col(code)).alias("_raw")).withColumn("_lines", clean_lines(F.col("_raw")))
-    return rows.select(key, F.explode(F.concat(*rules)).alias("d")).select(key, "d.*")
+    rows = codes.filter(F.col(code) != "").select(*_keys(key), raw_lines(F.col(code)).alias("_raw"), clean_lines(F.col(code)).alias("_lines"))
+    return rows.select(*_keys(key), F.explode(F.concat(*rules)).alias("d")).select(*_keys(key), "d.*")
 
 
-def code_summary(codes: DataFrame, key: str = "doc_id", code: str = "code") -> DataFrame:
-    """(key, n_lines, n_plots, n_inputs, n_vars, n_comments, has_request, script_type): counts per code, inside its row."""
-    rows = codes.filter(F.col(code) != "").select(key, raw_lines(F.col(code)).alias("_raw")).withColumn("_lines", clean_lines(F.col("_raw")))
+def code_summary(codes: DataFrame, key: str | list[str] = "doc_id", code: str = "code") -> DataFrame:
+    """(keys, n_lines, n_plots, n_inputs, n_vars, n_comments, has_request, script_type): counts per code, inside its row."""
+    rows = codes.filter(F.col(code) != "").select(*_keys(key), raw_lines(F.col(code)).alias("_raw"), clean_lines(F.col(code)).alias("_lines"))
     count = lambda pattern: F.size(F.filter("_lines", lambda l: F.rlike(l["c"], F.lit(pattern))))
     has = lambda pattern: F.exists("_lines", lambda l: F.rlike(l["c"], F.lit(pattern)))
     return rows.select(
-        key, F.size("_raw").alias("n_lines"), count(r"\bplot\w*\s*\(").alias("n_plots"), count(r"\binput(\.\w+)?\s*\(").alias("n_inputs"), count(r"^\s*(var|varip)\s").alias("n_vars"),
+        *_keys(key), F.size("_raw").alias("n_lines"), count(r"\bplot\w*\s*\(").alias("n_plots"), count(r"\binput(\.\w+)?\s*\(").alias("n_inputs"), count(r"^\s*(var|varip)\s").alias("n_vars"),
         F.size(F.filter("_raw", lambda l: F.rlike(l, F.lit(r"^\s*//")))).alias("n_comments"), has(r"\brequest\.").alias("has_request"),
         F.when(has(r"\bstrategy\s*\("), "strategy").when(has(r"\blibrary\s*\("), "library").when(has(r"\b(indicator|study)\s*\("), "indicator").otherwise("unknown").alias("script_type"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.scalar import describe_code
 from glyphmill.sources.schemas import RESPONSE, RESPONSE_ITEM
 
 #: What a placeholder says where the code shows no identifier; null stands for the word of its own.
@@ -48,6 +49,17 @@ def normalize_responses(responses: DataFrame, key: str, payload: str) -> DataFra
     return rows.select(key, (F.size(errors) == 0).alias("success"), errors.alias("errors"), F.filter("_all", lambda d: d["type"] == "warning").alias("warnings"))
 
 
+def diagnostic_text() -> Column:
+    """A diagnostic (columns line, column, end_line, end_col, code, type, text, ctx) as lines: place, message, meaning, context."""
+    at = lambda line, column: F.concat(F.lit("Line "), F.col(line).cast("string"), F.lit(", Col "), F.col(column).cast("string"))
+    ends = (F.col("end_line") > 0) & (F.col("end_col") > 0) & ((F.col("end_line") != F.col("line")) | (F.col("end_col") != F.col("column")))
+    tag = F.when(F.col("code") != "", F.col("code")).otherwise(F.upper("type"))
+    head = F.concat(at("line", "column"), F.when(ends, F.concat(F.lit(" -> "), at("end_line", "end_col"))).otherwise(""), F.lit(" ["), tag, F.lit("]"))
+    meaning = F.nullif(describe_code(F.col("code")), F.lit(""))
+    context = F.array_join(F.transform(F.map_entries("ctx"), lambda kv: F.concat(kv["key"], F.lit("='"), kv["value"], F.lit("'"))), ", ")
+    return F.concat_ws("\n", head, F.concat(F.lit("  "), F.col("text")), F.concat(F.lit("  Code: "), meaning), F.concat(F.lit("  Context: "), F.nullif(context, F.lit(""))))
+
+
 def fill_from_code(diagnostics: DataFrame, code: str = "code", text: str = "text", line: str = "line", column: str = "column") -> DataFrame:
     """Placeholders left in ``text`` filled from the identifier at the diagnostic's place in the code.
 

@@ -4,46 +4,153 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions import render, terms
 from glyphmill.functions import scalar as S
-from glyphmill.operators import hints, lint, lookup, rewrite
+from glyphmill.operators import hints, lint, lookup, responses, rewrite
+from glyphmill.plans.code_sql import ORACLE
 from glyphmill.sources.tables import table
 
+__all__ = ["ORACLE", "QUERIES"]
+
+
+_CODE = ["rec_id", "pos"]
+
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(code_id, code): every example of every entry; its place in the array is part of the id."""
-    rows = table(spark, sf_dir, "pine_merged_entries").select("rec_id", F.posexplode("examples").alias("pos", "code")).filter("code is not null")
-    return rows.select((F.col("rec_id") * 1000 + F.col("pos")).alias("code_id"), "code")
+    """(rec_id, pos, code): every example of every entry, by its place in the array."""
+    return table(spark, sf_dir, "pine_merged_entries").select("rec_id", F.posexplode("examples").alias("pos", "code")).filter("code is not null")
 
 
 def lint_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnostics of every example."""
-    return lint.lint(_codes(spark, sf_dir), "code_id")
+    return lint.lint(_codes(spark, sf_dir), _CODE)
 
 
 def lint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnostics by rule: the header, reassignments and comparisons that SQL can state."""
     rows = lint_code(spark, sf_dir).filter("code in ('LOCAL_VERSION', 'LOCAL_REASSIGN', 'LOCAL_NA_CMP', 'LOCAL_V4_COLOR')")
-    return rows.groupBy("code", "type").agg(F.count("*").alias("n"), F.countDistinct("code_id").alias("n_codes"), F.sum("line_no").alias("line_sum"))
+    return rows.groupBy("code", "type").agg(F.count("*").alias("n"), F.countDistinct(*_CODE).alias("n_codes"), F.sum("line_no").alias("line_sum"))
 
 
 def code_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every example holds."""
-    return lint.code_summary(_codes(spark, sf_dir), "code_id")
+    return lint.code_summary(_codes(spark, sf_dir), _CODE)
 
 
 def migrate_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every example migrated, as a digest, with whether it changed."""
     rows = _codes(spark, sf_dir).withColumn("new", rewrite.migrate(F.col("code")))
-    return rows.select("code_id", F.md5("new").alias("digest"), (F.col("new") != F.col("code")).alias("changed"))
+    return rows.select(*_CODE, F.md5("new").alias("digest"), (F.col("new") != F.col("code")).alias("changed"))
 
 
 def repair_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every example repaired, as a digest, with the repairs that applied."""
     rows = _codes(spark, sf_dir).withColumn("r", rewrite.repair(rewrite.drop_when_argument(F.col("code"))))
-    return rows.select("code_id", F.md5("r.code").alias("digest"), F.array_join("r.fixes", ",").alias("fixes"))
+    return rows.select(*_CODE, F.md5("r.code").alias("digest"), F.array_join("r.fixes", ",").alias("fixes"))
+
+
+def repair_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every example repaired with its bare calls prefixed, as a digest, with the repairs that applied."""
+    rows = _codes(spark, sf_dir).withColumn("r", rewrite.repair_calls(F.col("code")))
+    return rows.select(*_CODE, F.md5("r.code").alias("digest"), F.array_join("r.fixes", ",").alias("fixes"))
+
+
+def modernize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every example repaired and migrated, as a digest, with the repairs that applied."""
+    rows = _codes(spark, sf_dir).withColumn("r", rewrite.modernize(F.col("code")))
+    return rows.select(*_CODE, F.md5("r.code").alias("digest"), F.array_join("r.fixes", ",").alias("fixes"))
+
+
+def without_when(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every example as the body of a strategy's call with a ``when`` argument, which goes."""
+    rows = _codes(spark, sf_dir).filter("code not like '%(%' and code not like '%)%' and code not like '%,%'")
+    wrapped = F.concat(F.lit("strategy.entry(a, when = f(b, c)"), F.lit(", "), F.col("code"), F.lit(")"))
+    return rows.select(*_CODE, rewrite.drop_when_argument(wrapped).alias("code"))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, payload): every error report, and the compiler response that its messages stand for.
+
+    A message is a code, a place and a name in backticks; names hold entities and format characters. A report without a
+    message is a rejection.
+    """
+    rows = table(spark, sf_dir, "documents").filter("doc_kind = 'error_report'").select("doc_id", "text", F.regexp_extract_all("text", F.lit(_MESSAGE), F.lit(0)).alias("m"))
+    part = lambda m, i: F.regexp_extract(m, _MESSAGE, i)
+    items = F.transform(
+        "m",
+        lambda m: F.struct(
+            F.struct(part(m, 2).cast("int").alias("line"), part(m, 3).cast("int").alias("column")).alias("start"), part(m, 1).alias("code"), F.lit("Could not find {kind} '{fullName}' in {scope}").alias("message"),
+            F.when(part(m, 1).startswith("CW"), "warning").alias("type"), F.struct(part(m, 4).alias("fullName"), F.lit("symbol").alias("kind")).alias("ctx"),
+        ),
+    )
+    payload = F.when(F.size("m") > 0, F.to_json(F.struct(F.lit(True).alias("success"), F.struct(items.alias("errors")).alias("result")))).otherwise(F.lit('{"success": false, "reason": "no message"}'))
+    return rows.select("doc_id", "text", payload.alias("payload"))
+
+
+_MESSAGE = r"\b(C[EW][0-9]{5}) @ ([0-9]{1,9}):([0-9]{1,9}) `([^`\n]*)`"
+
+
+def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = responses.normalize_responses(_reports(spark, sf_dir), "doc_id", "payload")
+    return told.select("doc_id", "success", F.posexplode(F.concat("errors", "warnings")).alias("at", "d")).select("doc_id", "success", "at", "d.*")
+
+
+def compile_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagnostics of every landed response, placeholders filled from their context."""
+    return _diagnostics(spark, sf_dir).select("doc_id", "at", "success", "line", "column", "code", "type", "text")
+
+
+def filled_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a diagnostic at the start of each example's first line says, filled from the code."""
+    rows = _codes(spark, sf_dir).select(*_CODE, "code", F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit("Undeclared {kind} '{identifier}' of {argumentType}{typePostfix} {other}").alias("text"))
+    return responses.fill_from_code(rows).select(*_CODE, "text")
+
+
+def explained_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight diagnostics of each report that name a symbol, rendered, with the beginning of its catalogue entry."""
+    catalog = table(spark, sf_dir, "catalog_records")
+    best = lookup.best_version(catalog).select("name_key", F.col("best_row").alias("row_no"))
+    docs = best.join(catalog.select("row_no", render.entry_detail().alias("detail")), "row_no").select("name_key", F.array_join(F.slice(F.split("detail", r"\R"), 1, 5), "\n").alias("docs"))
+    named = _diagnostics(spark, sf_dir).withColumn("name_key", F.lower(S.error_name(F.col("text")))).filter("name_key is not null")
+    first = named.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))).filter("n <= 8")
+    shown = first.join(docs, "name_key", "left").withColumn("report", responses.diagnostic_text())
+    return shown.select("doc_id", "n", "name_key", F.md5("report").alias("report"), F.md5("docs").alias("docs"))
+
+
+def fix_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the hint of the first and of the longest namespace that it names, with the name it quotes filled in."""
+    spaces = table(spark, sf_dir, "discovery_index").filter("namespace != ''").select("namespace").distinct()
+    ranked = spaces.select(F.row_number().over(Window.orderBy("namespace")).alias("ord"), F.concat("namespace", F.lit(".")).alias("pattern"))  # a row per namespace
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = hints.pattern_list(ranked, "ord", "pattern")
+    hint = F.create_map(*[F.lit(x) for o, p in told for x in (o, f"{{name}}: see the pages of {p}")])
+    matched = hints.match_patterns(texts.withColumn("key", F.struct("doc_id", F.regexp_extract("text", r"'([a-zA-Z_][a-zA-Z0-9_.]*)'", 0).alias("quoted"))), "key", "text", told)
+    fill = lambda of: hints.filled(hint[F.col(of)], F.col("key.quoted"))
+    return matched.select("key.doc_id", fill("first_match").alias("first_hint"), fill("longest_match").alias("longest_hint"))
+
+
+def query_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the words of every entry's name and description mean by aliases, and the indicator families that they name."""
+    text = F.concat_ws(" ", F.regexp_replace("name", "([a-z])([A-Z])", "$1 $2"), "description")
+    rows = table(spark, sf_dir, "pine_merged_entries").select("rec_id", F.array_join(terms.aliases(text), ",").alias("names"), F.array_join(terms.families(text), ",").alias("families"))
+    return rows.filter("names != '' or families != ''")
+
+
+def input_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parameter of each entry that the first word of its first parameter's description means, or that its last parameter's name with an ending does."""
+    rows = table(spark, sf_dir, "pine_merged_entries").select("rec_id", F.filter(F.transform("parameters", lambda p: p["name"]), lambda n: n.isNotNull()).alias("names")).filter("size(names) > 0")
+    variable = F.concat(F.get("names", F.size("names") - 1), F.lit("Input"))
+    return rows.select("rec_id", variable.alias("variable"), terms.parameter_for(variable, F.col("names")).alias("parameter"))
+
+
+def input_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed input declaration for every parameter: from its default where it has one, else from its name."""
+    rows = table(spark, sf_dir, "pine_merged_entries").select("rec_id", F.posexplode("parameters").alias("pos", "p")).filter("trim(p.name) != ''")
+    asked = F.when(F.col("p.default").isNotNull(), F.concat("p.name", F.lit(" = "), "p.default")).otherwise(F.col("p.name"))
+    return rows.select("rec_id", "pos", S.input_line(asked).alias("line"))
 
 
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,35 +189,5 @@ def sanitize_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (lint_code, lint_counts, code_summary, migrate_code, repair_code, error_codes, error_symbols, report_symbols, hint_match, sanitize_texts)
-}
-
-_CODES = "(SELECT rec_id * 1000 + pos AS code_id, code FROM (SELECT rec_id, unnest(examples) AS code, generate_subscripts(examples, 1) - 1 AS pos FROM pine_merged_entries) WHERE code IS NOT NULL)"
-_BLANK = """regexp_replace(regexp_replace(raw, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g'), '''(?:[^''\\\\]|\\\\.)*''', '''''', 'g')"""
-_LINES = f"""(SELECT code_id, line_no, raw, regexp_replace({_BLANK}, '//.*$', '') AS clean FROM (SELECT code_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS line_no FROM (SELECT code_id, string_split(regexp_replace(code, '\\n$', ''), chr(10)) AS ls FROM {_CODES} WHERE code <> '')))"""
-_DECLARED = "regexp_extract(clean, '^\\s*(?:var\\s+|varip\\s+)?(?:\\w+\\s+)?(\\w+)\\s*=(?:[^=>]|$)', 1)"
-_MEANINGS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in S.CODES.items())
-
-ORACLE: dict[str, str] = {
-    "lint_counts": f"""WITH l AS {_LINES}, d AS (SELECT code_id, {_DECLARED} AS name, min(line_no) AS first FROM l WHERE {_DECLARED} <> '' GROUP BY 1, 2),
-        r AS (SELECT code_id, CAST(1 AS BIGINT) AS line_no, 'LOCAL_VERSION' AS code FROM l GROUP BY code_id HAVING NOT bool_or(line_no <= 10 AND contains(raw, '//@version=6'))
-          UNION ALL SELECT l.code_id, l.line_no, 'LOCAL_REASSIGN' FROM l LEFT JOIN d ON d.code_id = l.code_id AND d.name = regexp_extract(clean, '^\\s*(\\w+)\\s*:=', 1) WHERE regexp_matches(clean, '^\\s*\\w+\\s*:=') AND (d.first IS NULL OR d.first > l.line_no)
-          UNION ALL SELECT code_id, line_no, 'LOCAL_NA_CMP' FROM l WHERE regexp_matches(clean, '==\\s*na\\b|\\bna\\s*==')
-          UNION ALL SELECT code_id, line_no, 'LOCAL_V4_COLOR' FROM l WHERE regexp_extract(clean, '\\bcolor\\s*=\\s*(\\w+)', 1) IN ({', '.join(f"'{c}'" for c in lint.OLD_COLORS)}))
-        SELECT code, 'error' AS type, count(*) AS n, count(DISTINCT code_id) AS n_codes, CAST(sum(line_no) AS BIGINT) AS line_sum FROM r GROUP BY 1""",
-    "code_summary": f"""SELECT code_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(clean, '\\bplot\\w*\\s*\\(')) AS n_plots, count(*) FILTER (regexp_matches(clean, '\\binput(\\.\\w+)?\\s*\\(')) AS n_inputs, count(*) FILTER (regexp_matches(clean, '^\\s*(var|varip)\\s')) AS n_vars,
-        count(*) FILTER (regexp_matches(raw, '^\\s*//')) AS n_comments, bool_or(regexp_matches(clean, '\\brequest\\.')) AS has_request, CASE WHEN bool_or(regexp_matches(clean, '\\bstrategy\\s*\\(')) THEN 'strategy' WHEN bool_or(regexp_matches(clean, '\\blibrary\\s*\\(')) THEN 'library'
-        WHEN bool_or(regexp_matches(clean, '\\b(indicator|study)\\s*\\(')) THEN 'indicator' ELSE 'unknown' END AS script_type FROM {_LINES} GROUP BY 1""",
-    "hint_match": """SELECT row_no, min(symbol_id) AS first_match, arg_min(symbol_id, struct_pack(l := -length(builtin_symbols.name), o := symbol_id)) AS longest_match FROM catalog_records JOIN builtin_symbols ON contains(lower(raw_see_also), lower(builtin_symbols.name)) GROUP BY 1""",
-    "sanitize_texts": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS text_digest, CASE WHEN l = '' THEN 'Script' ELSE substring(l, 1, 100) END AS literal,
-        CAST(CASE WHEN length(p) > 200 THEN 203 ELSE length(p) END AS INT) AS redacted_chars
-        FROM (SELECT doc_id, text, regexp_replace(regexp_replace(translate(text, '"\', '''/'), '[\x00-\x1f]', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS l,
-          regexp_replace(text, '(/[A-Za-z0-9_./ -]+|[A-Z]:\\[\\A-Za-z0-9_. -]+)', '[path]', 'g') AS p FROM documents WHERE text IS NOT NULL)""",
-    "error_codes": f"""SELECT code, n, n_docs, coalesce(meaning, '') AS meaning FROM (SELECT code, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(C[EW]\\d{{5}}) @ \\d+:\\d+', 1)) AS code FROM documents) GROUP BY 1) LEFT JOIN (VALUES {_MEANINGS}) m(code, meaning) USING (code)""",
-    "error_symbols": """WITH n AS (SELECT doc_id, lower(coalesce(nullif(regexp_extract(h, '''([a-zA-Z_][a-zA-Z0-9_.]*)''', 1), ''), nullif(regexp_extract(h, '(?i)call\\s+[''"]?([a-zA-Z_][a-zA-Z0-9_.]*)', 1), ''), nullif(regexp_extract(h, '(?i)function\\s+[''"]?([a-zA-Z_][a-zA-Z0-9_.]*)', 1), ''))) AS name_key
-          FROM (SELECT doc_id, replace(split_part(text, chr(10), 1), '`', '''') AS h FROM documents WHERE doc_kind = 'error_report')),
-        b AS (SELECT lower(regexp_replace(name, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS name_key, row_no AS best_row FROM catalog_records WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(name, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))
-          ORDER BY CASE WHEN (contains(coalesce(syntax,''),'(') AND contains(coalesce(syntax,''),')')) OR coalesce(raw_parameters,'') <> '' THEN 1 WHEN coalesce(syntax,'') <> '' THEN 2 ELSE 3 END,
-          CASE WHEN (contains(coalesce(syntax,''),'(') AND contains(coalesce(syntax,''),')')) OR coalesce(raw_parameters,'') <> '' OR coalesce(syntax,'') <> '' THEN 0 ELSE -length(coalesce(document,'')) END, row_no) = 1)
-        SELECT doc_id, name_key, best_row FROM n LEFT JOIN b USING (name_key) WHERE name_key IS NOT NULL""",
+    f.__name__: f for f in (lint_code, lint_counts, code_summary, migrate_code, repair_code, repair_calls, modernize_code, without_when, compile_diagnostics, filled_diagnostics, explained_errors, fix_hints, query_aliases, input_parameters, input_lines, error_codes, error_symbols, report_symbols, hint_match, sanitize_texts)
 }

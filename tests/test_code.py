@@ -25,6 +25,8 @@ CASES = [
     ("strategy declared", HEAD + 'strategy("s")\nstrategy.entry("a", 1)', []),
     ("bare", HEAD + "a = sma(close, 1) + ema(close, 2)\nb = ta.ema(close, 2)\nc = my.rsi(1)", [(2, "")]),
     ("hidden", HEAD + 'a = "study(red) == na ))"\n// ema(1) x := 2 ]\nb = \'rsi(\'', []),
+    ("over lines", HEAD + 'a = "one\nstudy(two)"\nb = c == na', [(3, "LOCAL_NA_CMP")]),  # the blanked literal is one line
+    ("apostrophes", HEAD + "// don't\nx = y == na // isn't\nz = y == na", [(3, "LOCAL_NA_CMP")]),
     ("empty", "", []),
     ("null", None, []),
 ]
@@ -42,7 +44,7 @@ def test_lint_rules(spark):
 
 def test_lint_names_the_first_of_several(spark):
     df = spark.createDataFrame([(1, HEAD + "a = sma(close, 1) + ema(close, 2)")], "doc_id bigint, code string")
-    assert [r.text for r in lint.lint(df).collect()] == ["Bare 'ema()' is v5 syntax. Use ta.ema() in v6"]
+    assert [r.text for r in lint.lint(df).collect()] == ["ema() is now called ta.ema()"]
 
 
 def test_code_summary(spark):
@@ -81,6 +83,48 @@ def test_repairs(spark):
     assert {r.code: (r.r.code, r.r.fixes) for r in df.select("code", rewrite.repair(F.col("code")).alias("r")).collect()} == cases
 
 
+def test_repairs_of_calls_and_migrations(spark):
+    cases = {
+        "x = ema(sma(a, 1), 2)": ("x = ta.ema(ta.sma(a, 1), 2)", ["prefix"]), 'strategy.entry("a", transp=1)': ('strategy.entry("a")', ["transp", "declaration"]), 'strategy("s")\nstrategy.entry("a")': ('strategy("s")\nstrategy.entry("a")', []),
+        "alma(a)": ("alma(a)", []), 's = "ema(1)"': ('s = "ema(1)"', []), None: (None, []),
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "code string")
+    got = {r.code: (r.r.code, r.r.fixes) for r in df.select("code", rewrite.repair_calls(F.col("code")).alias("r")).collect()}
+    assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in cases.items() if k is not None}
+    df = spark.createDataFrame([('study("a")\nbool b = na\nif close\n    x = rsi(abs(y), 3)',), ("indicator(1)",)], "code string")
+    assert [tuple(r.r) for r in df.select(rewrite.modernize(F.col("code")).alias("r")).collect()] == [
+        ('indicator("a")\nvar bool b = false\nif close > 0\n    x = ta.rsi(math.abs(y), 3)', ["bool_na", "implicit_bool", "study"]), ("indicator(1)", []),
+    ]
+
+
+def test_migration_names_its_input_once(spark):
+    """The plan does not grow with the number of rules: the code is read a bounded number of times."""
+    plan = spark.range(1).select(F.lit("ema(1)").alias("code")).select(rewrite.migrate(F.col("code")).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("code#") < 40 and plan.count("regexp_replace") < 20
+
+
+def test_blanking_keeps_every_place(spark):
+    cases = {'a "b\\"c" d': 'a "    " d', "x 'y' z": "x ' ' z", '"" \'\'': '"" \'\'', 'open " end': 'open " end', '"it\'s" + \'"\'': '"    " + \' \'', '"a\nb"c': '"   "c', "": ""}
+    df = spark.createDataFrame([(c,) for c in cases], "code string")
+    got = {r.code: r.b for r in df.select("code", S.blank_literals(F.col("code")).alias("b")).collect()}
+    assert all(len(k) == len(v) for k, v in got.items())
+    for k, v in cases.items():
+        if k != '"it\'s" + \'"\'':
+            assert got[k] == v, k
+    long = spark.range(1).select(S.blank_literals(F.concat(F.lit('"'), F.repeat(F.lit("\\\\x"), 100_000), F.lit('" + ema(1)')))).first()[0]
+    assert long.endswith('" + ema(1)') and "x" not in long[:-10]
+
+
+def test_input_lines(spark):
+    cases = {
+        "length": 'int length = input.int(20, "length")', "Source": 'Source = input.source(close, "Source")', "hl2": 'hl2 = input.source(hl2, "hl2")', "mult": 'float mult = input.float(2.0, "mult")', "lineColor": 'lineColor = input.color(color.blue, "lineColor")',
+        "show it": 'bool show_it = input.bool(true, "show it")', "q": 'float q = input.float(1.0, "q")', "a = 5": 'int a = input.int(5, "a")', "a=1.5": 'float a = input.float(1.5, "a")', "b = TRUE": 'bool b = input.bool(true, "b")', 's = "x=y"': 'string s = input.string("x=y", "s")',
+        "src = close": 'src = input.source(close, "src")', "9z = abc": 'float _9z = input.float(abc, "9z")',
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "asked string")
+    assert {r.asked: r.line for r in df.select("asked", S.input_line(F.col("asked")).alias("line")).collect()} == cases
+
+
 def test_drop_when(spark):
     cases = {
         'strategy.entry("a", strategy.long, when = f(x, (y)), qty=1)': 'strategy.entry("a", strategy.long, qty=1)',

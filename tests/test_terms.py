@@ -28,3 +28,27 @@ def test_first_and_longest_pattern(spark):
     table = hints.pattern_list(patterns, "ord", "pattern")
     assert sorted(tuple(r) for r in hints.match_patterns(texts, "i", "text", table).collect()) == [(1, 1, 3), (2, 2, 2)]
     assert hints.match_patterns(texts, "i", "text", []).count() == 0
+
+
+def test_patterns_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("aabc.(") for _ in range(rng.randint(1, n)))
+    patterns = [(i, word(6)) for i in range(60)]
+    texts = [word(40) for _ in range(300)]
+    got = {r.i: (r.first_match, r.longest_match) for r in hints.match_patterns(spark.createDataFrame(list(enumerate(texts)), "i bigint, text string"), "i", "text", patterns).collect()}
+    expected = {}
+    for i, text in enumerate(texts):
+        hits = [(o, p) for o, p in patterns if p in text]
+        if hits:
+            expected[i] = (min(hits)[0], min((-len(p), o) for o, p in hits)[1])
+    assert got == expected
+    many = [(i, f"p{i}x") for i in range(hints.PART + 3)]
+    assert [tuple(r) for r in hints.match_patterns(spark.createDataFrame([(1, "a P5002X p7x")], "i bigint, text string"), "i", "text", many).collect()] == [(1, 7, 5002)]
+
+
+def test_hints_are_filled(spark):
+    rows = [("use {name}({name})", "no 'ta.ema' here, nor 'x'"), ("use {name}", "no name"), ("plain", "'a'")]
+    df = spark.createDataFrame(rows, "hint string, text string")
+    assert [r[0] for r in df.select(hints.filled(F.col("hint"), F.col("text"))).collect()] == ["use ta.ema(ta.ema)", "use value", "plain"]
