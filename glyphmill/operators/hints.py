@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: The pattern table is small by nature; more patterns than this are refused. Each regular expression holds a part of them.
 MAX_PATTERNS = 100_000
-PART = 5_000
+PART = 1_000
 
 
 def pattern_list(patterns: DataFrame, order: str, pattern: str) -> list[tuple[int, str]]:
@@ -49,7 +50,7 @@ def match_patterns(texts: DataFrame, key: str, text: str, patterns: list[tuple[i
     lower, best = F.lower(F.col(text)), []
     for at in range(0, len(names), PART):
         some = names[at : at + PART]
-        table = F.map_from_arrays(F.array(*[F.lit(p) for p in some]), F.array(*[F.struct(F.lit(told[p]).cast("bigint").alias("first"), F.lit(-len(p)).alias("size"), F.lit(orders[p]).cast("bigint").alias("own")) for p in some]))
+        table = F.from_json(F.lit(json.dumps({p: {"first": told[p], "size": -len(p), "own": orders[p]} for p in some})), "map<string,struct<first:bigint,size:int,own:bigint>>")
         found = F.array_distinct(F.regexp_extract_all(lower, F.lit(f"(?=({_either(some)}))"), F.lit(1)))
         best.append(F.transform(found, lambda p: table[p]))  # noqa: B023
     hits = texts.select(key, F.concat(*best).alias("_hits")).filter(F.size("_hits") > 0)
