@@ -81,6 +81,22 @@ def type_methods(rows: DataFrame, shown: int = 30) -> DataFrame:
     return listed
 
 
+def short_types(rows: DataFrame, key: str = "row_no", shown: int = 30, short: int = 500) -> DataFrame:
+    """(row, n_methods, methods): the functions of the namespace of each type whose document is under ``short`` characters."""
+    types = rows.filter((F.col("category") == "type") & (F.length(F.coalesce("document", F.lit(""))) < short) & (F.col("namespace") != "")).select(key, F.col("namespace").alias("owner"))
+    return types.join(type_methods(rows, shown), "owner").select(key, "n_methods", "methods")
+
+
+def total_check(rows: DataFrame, least: int = 850) -> DataFrame:
+    """One row: the number of rows of a known category, and LOW where it is under ``least``."""
+    return rows.filter(F.coalesce("category", F.lit("unknown")) != "unknown").agg(F.count("*").alias("n")).withColumn("verdict", F.when(F.col("n") < least, "LOW").otherwise("OK"))
+
+
+def name_members(rows: DataFrame, key: str = "row_no") -> DataFrame:
+    """(name_key, category, row): the index of names as a relation, each name with all its rows; blank names have none."""
+    return rows.select(index_key(F.col("name")).alias("name_key"), "category", key).filter("name_key != ''")
+
+
 def range_check(counts: DataFrame, ranges: dict[str, tuple[int, int]], low: float = 0.7, high: float = 1.5) -> DataFrame:
     """Adds verdict to (category, n): LOW under 0.7 of the expected least, HIGH over 1.5 of the most, else OK; null without a range."""
     least = F.create_map(*[F.lit(x) for k, v in ranges.items() for x in (k, v[0])])[F.col("category")]

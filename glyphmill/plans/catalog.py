@@ -94,6 +94,26 @@ def range_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.range_check(counts, RANGES)
 
 
+def total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the discovery found enough."""
+    return lookup.total_check(table(spark, sf_dir, "discovery_index"))
+
+
+def name_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every catalogue row under its name."""
+    return lookup.name_members(table(spark, sf_dir, "catalog_records"))
+
+
+def short_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions that go with each type whose document is short."""
+    return lookup.short_types(table(spark, sf_dir, "catalog_records")).select("row_no", "n_methods", F.array_join("methods", "|").alias("methods"))
+
+
+def flatten_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of the flat record that are JSON."""
+    return ingest.flatten(table(spark, sf_dir, "pine_merged_entries")).select("rec_id", "raw_parameters", "raw_overloads", "raw_type_fields")
+
+
 def scrape_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over all entries."""
     return lookup.scrape_report(table(spark, sf_dir, "pine_merged_entries"), table(spark, sf_dir, "discovery_index"))
@@ -179,7 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalize_names, flatten_metadata, document_text, merge_sources, enrich_siblings, upsert_catalog, new_fragments, union_removed, index_category, category_counts, range_check, scrape_report,
-        catalog_stats, namespaces, filter_metadata, return_types, name_index, best_version, hot_winners, browse, type_methods, parse_parameters, payload_listing, distinct_examples,
+        catalog_stats, namespaces, filter_metadata, return_types, name_index, best_version, hot_winners, browse, type_methods, total_check, name_members, short_types, flatten_members, parse_parameters, payload_listing, distinct_examples,
     )
 }
 
@@ -190,6 +210,14 @@ def _strip(x: str) -> str:
     return _STRIP.format(x)
 
 
+def _listed(field: str, names: tuple[str, ...]) -> str:
+    """A field as JSON in SQL, members that are null left out; empty without an element."""
+    parts = ", ".join(f"""CASE WHEN e."{n}" IS NOT NULL THEN '"{n}":' || CAST(to_json(e."{n}") AS VARCHAR) END""" for n in names)
+    element = f"'{{' || concat_ws(',', {parts}) || '}}'" if names else "CAST(to_json(e) AS VARCHAR)"
+    known = f"list_filter(coalesce({field}, []), lambda e: e IS NOT NULL)"
+    return f"CASE WHEN len({known}) > 0 THEN '[' || array_to_string(list_transform({known}, lambda e: {element}), ',') || ']' ELSE '' END"
+
+
 def _base(x: str) -> str:
     return f"replace(replace(replace({_strip(f'lower({x})')}, ' ', ''), '()', ''), '`', '')"
 
@@ -258,6 +286,12 @@ ORACLE: dict[str, str] = {
     "index_category": """SELECT c.row_no, c.category, d.index_category FROM catalog_records c LEFT JOIN (SELECT lower(replace(display_name,'()','')) AS k, category AS index_category FROM discovery_index WHERE category <> 'unknown'
         QUALIFY row_number() OVER (PARTITION BY lower(replace(display_name,'()','')) ORDER BY fragment, category) = 1) d ON lower(replace(c.name,'()','')) = d.k""",
     "category_counts": "SELECT category, source, count(*) AS n, count(DISTINCT namespace) AS n_namespaces FROM pine_merged_entries GROUP BY 1, 2",
+    "total_check": "SELECT count(*) AS n, CASE WHEN count(*) < 850 THEN 'LOW' ELSE 'OK' END AS verdict FROM discovery_index WHERE coalesce(category, 'unknown') <> 'unknown'",
+    "name_members": f"SELECT {_INDEX_KEY} AS name_key, category, row_no FROM catalog_records WHERE {_INDEX_KEY} <> ''",
+    "short_types": """WITH m AS (SELECT owner, count(*) AS n_methods, array_to_string(list(method ORDER BY method) FILTER (nth <= 30), '|') AS methods FROM (SELECT owner, method, row_number() OVER (PARTITION BY owner ORDER BY method) AS nth
+        FROM (SELECT DISTINCT namespace AS owner, name AS method FROM catalog_records WHERE category = 'function' AND starts_with(name, namespace || '.'))) GROUP BY owner)
+        SELECT row_no, n_methods, methods FROM catalog_records JOIN m ON owner = namespace WHERE category = 'type' AND length(coalesce(document, '')) < 500 AND namespace <> ''""",
+    "flatten_members": f"""SELECT rec_id, {_listed('parameters', ('name', 'type', 'description', 'optional', 'default'))} AS raw_parameters, {_listed('overloads', ())} AS raw_overloads, {_listed('type_fields', ('name', 'type', 'description'))} AS raw_type_fields FROM pine_merged_entries""",
     "range_check": "SELECT category, n, CASE WHEN lo IS NULL THEN NULL WHEN n < lo * 0.7 THEN 'LOW' WHEN n > hi * 1.5 THEN 'HIGH' ELSE 'OK' END AS verdict FROM (SELECT category, count(*) AS n FROM catalog_records GROUP BY 1) LEFT JOIN (VALUES "
     + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in RANGES.items()) + ") r(category, lo, hi) USING (category)",
     "scrape_report": """SELECT count(*) AS scraped, count(*) FILTER (coalesce(scrape_error,'') <> '') AS failed, count(*) FILTER (len(coalesce(examples,[])) > 0) AS with_examples, CAST(coalesce(sum(len(coalesce(examples,[]))),0) AS BIGINT) AS total_examples,

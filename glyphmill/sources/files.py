@@ -44,6 +44,19 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def build_once(rows: DataFrame, path: str, force: bool = False) -> bool:
+    """Write ``rows`` as Parquet unless rows are there already; with ``force`` they are replaced. Whether it wrote."""
+    if not force:
+        try:
+            if not rows.sparkSession.read.parquet(path).isEmpty():
+                return False
+        except AnalysisException as missing:  # nothing there, or a folder without a file of rows
+            if not any(word in str(missing) for word in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+                raise
+    rows.write.mode("overwrite").parquet(path)
+    return True
+
+
 def page_links(pages: DataFrame, html: str = "html", base: str = "") -> DataFrame:
     """The discovery index of landed pages: one row per linked fragment with a known prefix, the first label in order.
 

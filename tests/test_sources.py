@@ -61,3 +61,13 @@ def test_fill_from_code(spark):
     rows = [(1, 3, 6, "Undeclared {identifier} {odd}", code), (2, 9, 1, "Call {funId}{typePostfix}", code), (3, 3, 99, "{name} is {kind}", code), (4, 1, 1, "{name}", ""), (5, 1, 1, "{name}", None), (6, 0, 0, "plain", code)]
     df = spark.createDataFrame(rows, "i int, line int, column int, text string, code string")
     assert {r.i: r.text for r in responses.fill_from_code(df).collect()} == {1: "Undeclared xyz.q odd", 2: "Call function", 3: "value is identifier", 4: "{name}", 5: "{name}", 6: "plain"}
+
+
+def test_build_once(spark, tmp_path):
+    rows, path = spark.range(3), str(tmp_path / "catalog")
+    assert files.build_once(rows, path) and not files.build_once(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 3
+    assert files.build_once(spark.range(5), path, force=True) and spark.read.parquet(path).count() == 5
+    empty = str(tmp_path / "empty")
+    assert files.build_once(spark.range(0), empty) and files.build_once(rows, empty)
+    assert spark.read.parquet(empty).count() == 3
