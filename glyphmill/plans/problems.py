@@ -68,8 +68,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.unpack(table(spark, sf_dir, "catalog_records"))
 
 
+def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source packed in the cells of the catalogue: the part of problem 4 whose forms SQL can read."""
+    return packed.unpack(table(spark, sf_dir, "catalog_records"), fields=("sources",)).select("row_no", "pos", "item_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_bridge, p2_objects, p2_expanded, p2_links, p2_typed, p3_found, p3_report, p4_found)
+    f.__name__: f for f in (p2_found, p2_bridge, p2_objects, p2_expanded, p2_links, p2_typed, p3_found, p3_report, p4_found, p4_sources)
 }
 
 #: SQL that states a query's result; for the others SQL is too weak (JSON of free shapes, quoting rules).
@@ -121,7 +126,15 @@ def _children_sql(field: str, text: str) -> str:
     return f"SELECT rec_id AS row_key, '{field}[' || i || ']' AS child_path, '{field}' AS child_kind, CAST(i AS INT) AS ordinal, {text} AS own_json FROM ({each}) WHERE e IS NOT NULL"
 
 
+_EDGES = r"regexp_replace({0}, '^[\s\p{{Z}}\p{{Cf}}]+|[\s\p{{Z}}\p{{Cf}}]+$', '', 'g')"
+_BARE = f"""CASE WHEN regexp_matches(t, '^(".*"|''.*''|“.*”|`.*`)$') THEN {_EDGES.format('substring(t, 2, length(t) - 2)')} ELSE t END"""
+
 ORACLE: dict[str, str] = {
+    "p4_sources": rf"""WITH c AS (SELECT row_no, sources AS cell FROM catalog_records WHERE sources <> ''),
+        t AS (SELECT row_no, CASE WHEN json_valid(cell) AND regexp_matches(cell, '^\s*\[') THEN list_transform(CAST(cell AS JSON[]), lambda j: {_EDGES.format("json_extract_string(j, '$')")})
+          ELSE list_transform(list_transform(regexp_extract_all(cell, '"[^"]*"|''[^'']*''|“[^”]*”|`[^`]*`|[^,;|·+\t\n"''“`]+'), lambda x: {_EDGES.format('x')}), lambda t: {_BARE}) END AS vs FROM c),
+        f AS (SELECT row_no, list_filter(vs, lambda v: v <> '') AS vs FROM t)
+        SELECT row_no, CAST(generate_subscripts(vs, 1) - 1 AS INT) AS pos, unnest(vs) AS item_text FROM f""",
     "p2_links": "SELECT unnest(['pine_merged_entries', 'pine_entry_payloads']) AS src_table, CAST(0 AS BIGINT) AS n_objects, CAST(0 AS BIGINT) AS n_parents",
     "p2_typed": " UNION ALL ".join(
         [
