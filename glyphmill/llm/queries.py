@@ -68,8 +68,17 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents")).select("doc_id", "seg_no", "lang_code", "confidence", "n_chars")
 
 
+def p8_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the stretches: confidences outside 0 to 1, numbers that skip, documents whose stretches are not all of it; nothing."""
+    told = language.languages(table(spark, sf_dir, "documents"))
+    per = told.groupBy("doc_id").agg(
+        F.count_if(~F.col("confidence").between(1e-9, 1.0)).alias("unsure"), F.count("*").alias("n"), F.max("seg_no").alias("last"), F.max("n_segments").alias("n_segments"), F.sum(F.when(F.col("seg_no") > 0, F.col("n_chars"))).alias("parts"), F.max(F.when(F.col("seg_no") == 0, F.col("n_chars"))).alias("whole")
+    )
+    return per.agg(F.coalesce(F.sum("unsure"), F.lit(0)).alias("n_unsure"), F.count_if((F.col("n") != F.col("last") + 1) | (F.col("last") != F.col("n_segments"))).alias("n_gaps"), F.count_if(F.col("parts") != F.col("whole")).alias("n_partial"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_symbols, p5_found, p5_records, p6_ids, p6_decoded, p7_packed, p7_fill, p7_faults, p8_found, p8_languages)
+    f.__name__: f for f in (p1_found, p1_symbols, p5_found, p5_records, p6_ids, p6_decoded, p7_packed, p7_fill, p7_faults, p8_found, p8_languages, p8_faults)
 }
 
 _SYMBOLS = f"SELECT rec_id, sym_name, coalesce(sym_category, '') AS sym_category FROM ({symbol_sql('pine_merged_entries', 'rec_id')}) WHERE sym_name IS NOT NULL"
@@ -106,6 +115,7 @@ ORACLE: dict[str, str] = {
     "p5_records": _RECORDS,
     "p1_found": f"""SELECT first_rec_id, rec_id FROM (SELECT rec_id, min(rec_id) OVER (PARTITION BY sym_name, sym_category) AS first_rec_id FROM ({_SYMBOLS})) WHERE rec_id > first_rec_id""",
     "p1_symbols": f"SELECT sym_name, sym_category, min(rec_id) AS first_rec_id, count(*) AS n_rows FROM ({_SYMBOLS}) GROUP BY 1, 2",
+    "p8_faults": "SELECT CAST(0 AS BIGINT) AS n_unsure, CAST(0 AS BIGINT) AS n_gaps, CAST(0 AS BIGINT) AS n_partial",
     "p7_faults": """SELECT budget_id, CAST(capacity AS BIGINT) AS capacity, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_amiss
         FROM (SELECT DISTINCT budget_id, capacity FROM token_budgets WHERE budget_id IS NOT NULL AND capacity > 0)""",
     "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
