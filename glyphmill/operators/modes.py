@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.scalar import index_key, return_type_matches, strip
+from glyphmill.functions.scalar import bigrams, index_key, query_words, return_type_matches, strip
+from glyphmill.functions.terms import aliases
 from glyphmill.operators.lookup import where
 from glyphmill.operators.search import fuzzy_names, fuse, vector_topk
 
@@ -60,6 +61,31 @@ def documents(catalog: DataFrame, queries: DataFrame, name_hits: DataFrame, n: i
     return _placed(kept.select("query_id", F.col("place").alias("at"), "id", "distance", "category"), F.col("at")).select("query_id", "place", "id", "distance", "category")
 
 
+#: The least score of a name for the whole query, an alias of it, two words in a row, and a word; the hits of each.
+PROBES = (70.0, 60.0, 65.0, 75.0)
+PROBE_HITS = 2
+
+
+def name_hits(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, id, score, seen): names that a query's text, its aliases, pairs of words and words lead to.
+
+    queries: query_id, text. names: id, name. A probe that is a name is that name (score 100); one with a dot is nothing
+    else; any other takes the names most like it. An id counts once, where it was first seen.
+    """
+    plain = lambda c: F.lower(F.replace(strip(c), F.lit("()"), F.lit("")))
+    words = query_words(F.col("text"))
+    tried = lambda texts, least: F.transform(texts, lambda t: F.struct(plain(t).alias("probe"), F.lit(least).alias("least")))
+    probes = F.concat(*[tried(t, least) for t, least in zip((F.array("text"), aliases(F.col("text")), bigrams(words), words), PROBES)])
+    probed = queries.select("query_id", F.posexplode(probes).alias("at", "p")).select("query_id", "at", "p.*").filter("probe != ''")
+    held = names.select(plain(F.col("name")).alias("name"), "id").filter("name != ''").groupBy("name").agg(F.min("id").alias("id"))
+    exact = probed.join(held.withColumnRenamed("name", "probe"), "probe").select("query_id", "at", F.lit(1).alias("rank"), "id", F.lit(100.0).alias("score"))
+    rest = probed.join(exact.select("query_id", "at"), ["query_id", "at"], "left_anti").filter(~F.col("probe").contains("."))
+    alike = fuzzy_names(held.select("name"), rest.select(F.col("probe").alias("name")), min(PROBES), PROBE_HITS).join(held, "name").withColumnRenamed("query", "probe")
+    near = rest.join(alike, "probe").filter(F.col("score") >= F.col("least")).select("query_id", "at", "rank", "id", "score")
+    first = exact.unionByName(near).groupBy("query_id", "id").agg(F.min(F.struct((F.col("at") * 10 + F.col("rank")).alias("seen"), "score")).alias("f"))
+    return first.select("query_id", "id", "f.score", F.col("f.seen").cast("bigint").alias("seen"))
+
+
 def close_by(catalog: DataFrame, queries: DataFrame, n: int, equal: dict) -> DataFrame:
     """(query_id, place, id, distance): the n nearest rows of a condition that are not far: rows with examples, or functions to suggest."""
     return nearest(catalog, queries, n, equal).filter(F.col("distance") < FAR).select("query_id", F.col("rank").alias("place"), "id", "distance")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.scalar import fragment_category, header_name, namespace_of, parse_parameter, strip
+from glyphmill.functions.scalar import PARAMETER, fragment_category, header_name, namespace_of, parse_parameter, strip
 from glyphmill.operators.ingest import index_category
 
 #: Class of the element that holds an item; its header and content have it with an ending.
@@ -155,7 +155,7 @@ def entries_of(items: DataFrame, index: DataFrame, base: str = "") -> DataFrame:
     by_heading = F.create_map(*[F.lit(x) for pair in HEADINGS.items() for x in pair])[F.regexp_extract(F.lower("section"), r"^\s*(\S+)", 1)]
     prefix = fragment_category(F.col("fragment"))
     category = F.coalesce(F.when(prefix != "unknown", prefix), by_heading, "index_category")
-    field = r"^([a-zA-Z_][a-zA-Z0-9_]*)\s*\(([^)]*)\)\s*(.*)"
+    field = PARAMETER
     lower = F.lower("all_text")
     withdrawn = F.lit(False)
     for marker in WITHDRAWN:

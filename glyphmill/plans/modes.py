@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import scalar as S
+from glyphmill.functions import terms
 from glyphmill.operators import modes
 from glyphmill.plans.catalog import HOT_NAMESPACES
 from glyphmill.plans.ranked import _alike, name_hits
@@ -73,6 +74,14 @@ def short_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes.short_query(table(spark, sf_dir, "discovery_index").select(F.col("display_name").alias("name")), queries)
 
 
+def search_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovered names that the words of every catalogue row's name lead to, for the rows whose number 50 divides."""
+    rows = table(spark, sf_dir, "catalog_records").filter("row_no % 50 = 0 and name is not null")
+    text = F.lower(F.regexp_replace(F.regexp_replace("name", "([a-z])([A-Z])", "$1 $2"), r"\.", " "))
+    names = table(spark, sf_dir, "discovery_index").select(F.col("fragment").alias("id"), F.col("display_name").alias("name"))
+    return modes.name_hits(rows.select(F.col("row_no").alias("query_id"), text.alias("text")), names)
+
+
 def biased_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest function of each query, those of one source counted as nearer."""
     catalog = _catalog(spark, sf_dir)
@@ -96,7 +105,7 @@ def hot_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (search_documents, search_functions, search_source, search_examples, search_suggestions, search_returns, short_queries, biased_choice, rows_by_name, types_by_name, hot_loads)
+    f.__name__: f for f in (search_documents, search_functions, search_source, search_examples, search_suggestions, search_returns, short_queries, search_names, biased_choice, rows_by_name, types_by_name, hot_loads)
 }
 
 
@@ -136,6 +145,13 @@ def _documents_sql(category: str | None = None, namespace: str | None = None) ->
 
 
 _NAME = "lower(replace({0}, '()', ''))"
+_STOPS = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
+_ALIASES = ", ".join("({}, '{}', [{}])".format(i, p, ", ".join(f"'{n}'" for n in names)) for i, (p, names) in enumerate(terms.ALIASES))
+
+
+def _plain(x: str) -> str:
+    return f"lower(replace({_strip(x)}, '()', ''))"
+
 
 ORACLE: dict[str, str] = {
     "search_documents": _documents_sql(),
@@ -150,6 +166,18 @@ ORACLE: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY direct DESC, rank) AS INT) AS place, id, distance, direct FROM k WHERE CASE WHEN has THEN direct OR distance < {modes.NEAR_BESIDE_DIRECT} ELSE rank <= {modes.SHOWN_ALONE} AND distance < {modes.NEAR_ALONE} END QUALIFY place <= {N}""",
     "short_queries": f"""WITH q AS (SELECT DISTINCT {_NAME.format('trim(substring(name, 1, 3))')} AS query FROM builtin_symbols WHERE symbol_id % 50 = 0), n AS (SELECT DISTINCT {_NAME.format('trim(display_name)')} AS name FROM discovery_index WHERE trim(display_name) <> ''),
         s AS (SELECT query, name, {_alike('query', 'name')} AS score FROM q, n) SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS INT) AS rank, name, round(score, 6) AS score FROM s QUALIFY rank <= 5""",
+    "search_names": f"""WITH q AS (SELECT row_no AS query_id, lower(replace(regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '.', ' ')) AS text FROM catalog_records WHERE row_no % 50 = 0 AND name IS NOT NULL),
+        w AS (SELECT query_id, text, list_filter(regexp_extract_all(text, '[a-z0-9_]{{2,}}'), lambda x: x NOT IN ({_STOPS})) AS words FROM q),
+        a AS (SELECT query_id, list(name ORDER BY spot) AS names FROM (SELECT query_id, name, min(i * 100 + j) AS spot FROM (SELECT query_id, i, unnest(names) AS name, generate_subscripts(names, 1) AS j FROM q JOIN (VALUES {_ALIASES}) t(i, pattern, names) ON regexp_matches(text, '(?i)' || pattern)) GROUP BY 1, 2) GROUP BY 1),
+        p AS (SELECT query_id, [struct_pack(p := text, l := 70.0::DOUBLE)] || list_transform(coalesce(a.names, []), lambda x: struct_pack(p := x, l := 60.0::DOUBLE)) || list_transform(range(1, len(words)), lambda i: struct_pack(p := words[i] || ' ' || words[i + 1], l := 65.0::DOUBLE)) || list_transform(words, lambda x: struct_pack(p := x, l := 75.0::DOUBLE)) AS ps FROM w LEFT JOIN a USING (query_id)),
+        x AS (SELECT query_id, t - 1 AS spot, {_plain('e.p')} AS probe, e.l AS least FROM (SELECT query_id, unnest(ps) AS e, generate_subscripts(ps, 1) AS t FROM p) WHERE {_plain('e.p')} <> ''),
+        n AS (SELECT {_plain('display_name')} AS name, min(fragment) AS id FROM discovery_index WHERE {_plain('display_name')} <> '' GROUP BY 1),
+        e AS (SELECT query_id, spot, 1 AS rank, id, 100.0::DOUBLE AS score FROM x JOIN n ON n.name = x.probe),
+        r AS (SELECT x.* FROM x ANTI JOIN e USING (query_id, spot) WHERE NOT contains(probe, '.')), u AS (SELECT DISTINCT probe FROM r),
+        s AS (SELECT probe, id, name, {_alike('probe', 'name')} AS score FROM u JOIN n ON 200.0 * least(length(probe), length(name)) >= 60 * (length(probe) + length(name))),
+        k AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, name) AS rank FROM s WHERE score >= 60 QUALIFY rank <= 2),
+        h AS (SELECT * FROM e UNION ALL SELECT query_id, spot, rank, id, round(score, 6) FROM r JOIN k USING (probe) WHERE round(score, 6) >= least)
+        SELECT query_id, id, arg_min(score, spot * 10 + rank) AS score, CAST(min(spot * 10 + rank) AS BIGINT) AS seen FROM h GROUP BY 1, 2""",
     "biased_choice": f"""WITH {_ALL}, h AS ({_near(N, "category = 'function'")}) SELECT query_id, id, distance FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(distance - CASE WHEN namespace = '{SOURCE}' THEN 0.05 ELSE 0 END, 9), rank) = 1""",
     "rows_by_name": "SELECT row_no, name, category FROM catalog_records WHERE name IN (SELECT name FROM entry_removals WHERE name IS NOT NULL UNION SELECT lower(name) FROM entry_removals WHERE name IS NOT NULL)",
     "types_by_name": "SELECT row_no, name FROM catalog_records WHERE category = 'type' AND name IN (SELECT display_name FROM discovery_index WHERE display_name IS NOT NULL UNION SELECT 'type.' || display_name FROM discovery_index WHERE display_name IS NOT NULL)",

@@ -100,3 +100,16 @@ def test_names_loads_and_bias(spark):
     assert sorted(map(tuple, modes.loads(rows, ["n", "m"]).collect())) == [("m", 1, 1, 0), ("n", 3, 1, 1)]
     near = spark.createDataFrame([(1, 1, 10, 0.30, "a"), (1, 2, 11, 0.34, "ta"), (1, 3, 12, 0.36, "ta"), (2, 1, 10, 0.2, "a"), (2, 2, 11, 0.25, "ta")], "query_id bigint, rank int, id bigint, distance double, namespace string")
     assert {(r.query_id, r.id) for r in modes.biased(near, "ta").collect()} == {(1, 11), (2, 10)}
+
+
+def test_name_hits(spark):
+    names = spark.createDataFrame([(1, "ta.macd"), (2, "moving_average"), (3, "close"), (4, "closed"), (5, "Close()"), (6, None), (7, " ")], "id bigint, name string")
+    queries = spark.createDataFrame([(1, "how does macd use close"), (2, "moving average"), (3, "ta.macd"), (4, "no.such"), (5, None), (6, "")], "query_id bigint, text string")
+    got = {}
+    for r in modes.name_hits(queries, names).orderBy("query_id", F.desc("score"), "seen").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    assert got[1][0] == (1, 100.0) or got[1][0] == (3, 100.0)  # the alias of macd, and the word close
+    assert {i for i, s in got[1] if s == 100.0} == {1, 3} and (4, round(200 * 5 / 11, 6)) not in got[1]  # an exact probe looks no further
+    assert got[2] == [(2, round(200 * 13 / 28, 6))] and got[3] == [(1, 100.0)]
+    assert 4 not in got and 5 not in got and 6 not in got
+    assert modes.name_hits(queries.limit(0), names).count() == 0 and modes.name_hits(queries, names.limit(0)).count() == 0
