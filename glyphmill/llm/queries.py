@@ -28,8 +28,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surviving record of each symbol with two or more records."""
-    return survivors.merged_records(table(spark, sf_dir, "pine_merged_entries"), table(spark, sf_dir, "source_trust"))
+    """The surviving record of each symbol with two or more records, its source codes in one text."""
+    return survivors.merged_records(table(spark, sf_dir, "pine_merged_entries"), table(spark, sf_dir, "source_trust")).withColumn("sources", F.array_join("sources", "|"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ _RECORDS = f"""
 WITH s AS ({_SURVIVORS}),
 t AS (SELECT rec_id AS from_rec_id, {_TRIMMED.format('syntax')} AS syntax, {_TRIMMED.format('description')} AS description FROM pine_merged_entries)
 SELECT first_rec_id, max(syntax) FILTER (slot = 'syntax') AS syntax, max(description) FILTER (slot = 'description') AS description,
-  coalesce(list(substring(slot, 9) ORDER BY slot) FILTER (starts_with(slot, 'sources/')), []) AS sources FROM s JOIN t USING (from_rec_id) GROUP BY 1
+  coalesce(string_agg(substring(slot, 9), '|' ORDER BY slot) FILTER (starts_with(slot, 'sources/')), '') AS sources FROM s JOIN t USING (from_rec_id) GROUP BY 1
 """
 
 ORACLE: dict[str, str] = {
