@@ -272,20 +272,24 @@ def _smoothed(uses: np.ndarray) -> np.ndarray:
 def fit(labelled: list[tuple[str, str]], tokenizers: str = TOKENIZERS, em_rounds: int = EM_ROUNDS, relabel_rounds: int = RELABEL_ROUNDS, label_trust: float = LABEL_TRUST) -> Unigrams | None:
     """Unigrams from (language, text) pairs whose labels may be wrong; None without a sentence."""
     languages = tuple(sorted({code for code, _ in labelled}))
-    told = [(languages.index(code), [w for w in words(s) if len(w) <= SAMPLE_LETTERS]) for code, text in labelled for s in sentences(text)]
-    told = [(code, found) for code, found in told if found]
+    seen = Counter((languages.index(code), s) for code, text in labelled for s in sentences(text))
+    equal: Counter = Counter()  # sentences of the same words count together
+    for (code, sentence), n in seen.items():
+        equal[code, tuple(w for w in words(sentence) if len(w) <= SAMPLE_LETTERS)] += n
+    told = [(code, found, n) for (code, found), n in equal.items() if found]
     if not told:
         return None
     size = max(vocabulary(tokenizers).values()) + 1
-    labels, trust = [code for code, _ in told], label_trust * np.eye(len(languages))
-    model = None
+    place: dict[str, int] = {}
+    ids = np.array([place.setdefault(w, len(place)) for _, found, _ in told for w in found])
+    lengths = np.array([len(found) for _, found, _ in told])
+    starts = np.append(0, np.cumsum(lengths)[:-1])
+    labels, times = np.array([code for code, _, _ in told]), np.repeat(np.array([n for _, _, n in told], float), lengths)
+    codes, trust, model = labels, label_trust * np.eye(len(languages)), None
     for _ in range(1 + relabel_rounds):
-        counts: dict[str, np.ndarray] = {}
-        for code, found in told:
-            for w in found:
-                if w not in counts:
-                    counts[w] = np.zeros(len(languages))
-                counts[w][code] += 1
+        table = np.zeros((len(place), len(languages)))
+        np.add.at(table, (ids, np.repeat(codes, lengths)), times)
+        counts = dict(zip(place, table))
         if model is None:
             uses = np.zeros((size, len(languages)))
             for w, weight in counts.items():
@@ -296,8 +300,8 @@ def fit(labelled: list[tuple[str, str]], tokenizers: str = TOKENIZERS, em_rounds
         for _ in range(em_rounds):
             model = Unigrams(_smoothed(model.expected(counts)), languages, tokenizers)
         # a wrong label, and a sentence in another language than its document, moves to where it is likeliest
-        moved = [int(np.argmax(np.sum([model.word(w) for w in found], axis=0) + trust[label])) for label, (_, found) in zip(labels, told)]
-        told = [(code, found) for code, (_, found) in zip(moved, told)]
+        said = np.stack([model.word(w) for w in place])
+        codes = np.argmax(np.add.reduceat(said[ids], starts, axis=0) + trust[labels], axis=1)
     return model
 
 
