@@ -91,6 +91,43 @@ def test_return_types(spark):
     none = asked(spark).withColumn("return_type", F.lit("table"))
     assert [(r.place, r.id) for r in modes.returning(c, none, 5).orderBy("place").collect()] == [(1, 1), (2, 3), (3, 2)]
 
+def test_most_alike_of_each_loses_nothing(monkeypatch):
+    rng = random.Random(6)
+    # few and many letters, null and wide characters; queries of several words of bits, and texts that are compared alone
+    for together, pairs, long, letters, most in ((4, 7, 1024, "ab", 12), (128, 8192, 1024, "abcdefgh. _", 40), (3, 50, 1024, "abcé漢😀\0_", 90), (16, 64, 1024, "ab", 200), (16, 64, 30, "abcdef", 60)):
+        for name, value in (("TOGETHER", together), ("PAIRS", pairs), ("LONG", long)):
+            monkeypatch.setattr(search, name, value)
+        made = lambda n: list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randint(1, most))) for _ in range(n)))
+        names = made(150)
+        queries = list(dict.fromkeys(made(20) + names[:3]))
+        for floors in ([0.0] * len(queries), [rng.choice([0.0, 60 - 1e-6, 70.0, 100.0]) for _ in queries]):
+            got = {}
+            for q, n, s in search.most_alike_of_each(queries, floors, names, 2):
+                got.setdefault(q, []).append((-s, n))
+            for q, floor in zip(queries, floors):
+                scored = sorted((-search.indel_ratio(q, n), n) for n in names)
+                assert sorted(got.get(q, []))[:2] == [x for x in scored if -x[0] >= floor][:2]
+    assert search.most_alike_of_each([], [], ["a"], 2) == search.most_alike_of_each(["a"], [0.0], [], 2) == []
+
+
+def test_name_blocks_compare_no_pair_alone(monkeypatch):
+    rng, alone = random.Random(4), []
+    ratio = search.indel_ratio
+    monkeypatch.setattr(search, "indel_ratio", lambda a, b: alone.append(a) or ratio(a, b))
+    words = ["".join(rng.choice("aeiouklmnrst") for _ in range(rng.randint(3, 8))) for _ in range(40)]
+    names = sorted({"".join(rng.choices(words, k=5)) for _ in range(3000)})
+    queries = sorted({" ".join(rng.choices(words, k=5)) for _ in range(300)})
+    found = search.most_alike_of_each(queries, [70.0] * len(queries), names, 2)
+    assert found and not alone  # nearly a million pairs
+    assert all(s == ratio(q, n) for q, n, s in found)
+
+
+def test_floor_of_a_query(spark):
+    names = spark.createDataFrame([("close",), ("closed",), ("clod",)], "name string")
+    queries = spark.createDataFrame([("closer", 90.0), ("clos", 80.0), ("clos", None), ("Clo", 99.0), (None, 1.0)], "name string, floor double")
+    got = {(r.query, r.name) for r in search.fuzzy_names(names, queries, 70.0, 5, floor="floor").collect()}
+    assert got == {("closer", "close"), ("clos", "close"), ("clos", "closed"), ("clos", "clod")}  # the lowest of a query's floors holds, a null is none
+
 
 def test_names_loads_and_bias(spark):
     rows = spark.createDataFrame([(1, "a", "type", "n", "xx"), (2, "A", "type", "n", "xxx"), (3, "type.b", "type", "m", "x"), (4, None, "type", "n", "x"), (5, "a", "function", "n", "xxx"), (6, "c", "type", "z", "")], "row_no bigint, name string, category string, namespace string, document string")
